@@ -88,18 +88,18 @@ def micros_to_seconds(ts: ColumnLike) -> Column:
     return F.unix_micros(col(ts).cast("timestamp")) / lit_double(1e6)
 
 
-def ticks(seconds: ColumnLike, per_second: int = 1000) -> Column:
-    """Whole ticks of a time in seconds, rounded half up; NaN and infinities count as missing."""
-    s = col(seconds).cast("double")
-    ok = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < F.lit(float("inf")))
-    return F.when(ok, F.round(s * per_second).cast("bigint"))
+def is_time(seconds: ColumnLike) -> Column:
+    """Neither NULL nor NaN nor infinite."""
+    s = col(seconds)
+    return s.isNotNull() & ~F.isnan(s) & (F.abs(s) < F.lit(float("inf")))
+
 
+def ticks(seconds: ColumnLike, per_second: int = 1000) -> Column:
+    """Whole ticks of a time in seconds, rounded half up. Filter by ``is_time`` before.
 
-def ordered_interval(start: ColumnLike, end: ColumnLike) -> tuple[Column, Column]:
-    """(start, end) with reversed endpoints swapped; NULL where either is missing."""
-    s, e = col(start), col(end)
-    both = s.isNotNull() & e.isNotNull()
-    return F.when(both, F.least(s, e)), F.when(both, F.greatest(s, e))
+    floor(x + 0.5) rather than round(x), which goes through a decimal object for every value.
+    """
+    return F.floor(col(seconds) * per_second + F.lit(0.5))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

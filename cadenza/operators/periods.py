@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalars import ordered_interval, ticks
+from cadenza.functions.scalars import is_time, ticks
 from cadenza.session import cut_lineage
 
 #: Media time handled as one group. Long enough to leave most recordings in one piece.
@@ -20,16 +20,16 @@ STRETCH_MS = 3_600_000
 
 def _stretch_periods(intervals: DataFrame, keys: list[str], start: Column, end: Column, join_ms: int, stretch_ms: int) -> DataFrame:
     """Merged intervals per (keys, stretch): columns keys, __b, __s and __e in milliseconds."""
-    low, high = ordered_interval(ticks(start), ticks(end))
     kinds = dict(intervals.dtypes)
     named = [F.coalesce(F.col(k), F.lit("")).alias(k) if kinds[k] == "string" else F.col(k) for k in keys]
+    # Filtered on the plain columns first: later steps then repeat no NULL checks.
     rows = (
-        intervals.select(*named, low.alias("__s"), high.alias("__e"))
-        .filter(F.col("__s").isNotNull())
+        intervals.filter(is_time(start) & is_time(end))
+        .select(*named, ticks(F.least(start, end)).alias("__s"), ticks(F.greatest(start, end)).alias("__e"))
         .withColumn("__b", F.floor(F.col("__s") / F.lit(stretch_ms)))
     )
     # A break of exactly join_ms still joins: the window is one microsecond longer than that.
-    duration = F.concat(((F.col("__e") - F.col("__s") + join_ms) * 1000 + 1).cast("string"), F.lit(" microseconds"))
+    duration = F.expr("make_interval(0, 0, 0, 0, 0, 0, 0.001)") * (F.col("__e") - F.col("__s") + F.lit(join_ms + 0.001))
     at = F.timestamp_micros(F.col("__s") * 1000)
     merged = rows.withColumn("__at", at).groupBy(*keys, "__b", F.session_window("__at", duration).alias("__w")).agg(F.max("__e").alias("__e"))
     return merged.select(*keys, "__b", (F.unix_micros(F.col("__w.start")) / 1000).cast("bigint").alias("__s"), "__e")
