@@ -4,13 +4,32 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever they run; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cadenza-ship-")) / "cadenza.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def build_session(app: str = "cadenza", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings every operator is written for."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,6 +42,8 @@ def build_session(app: str = "cadenza", cpus: int | str = "*", shuffle_partition
         .config("spark.sql.files.openCostInBytes", "1m")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

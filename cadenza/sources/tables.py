@@ -20,12 +20,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def once(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """The table with the earliest delivery of every row, reduced to ``columns`` and its key.
+    """The table with each row once: its key, ``columns`` and the earliest delivery.
 
-    The reduction is an aggregate with a map-side part, so no group is ever gathered.
+    Copies differ in the delivery time alone, so grouping by all other columns in use finds them. That
+    is a plain hash aggregate with a map-side part; no group is ever gathered.
     """
     keys, delivered = DELIVERED[name]
     df = table(spark, folder, name)
-    names = [c for c in (columns or df.columns) if c not in keys]
-    rest = F.min_by(F.struct(*names), F.col(delivered)).alias("__row") if names else F.min(delivered).alias("__row")
-    return df.groupBy(*keys).agg(rest).select(*keys, *[f"__row.{c}" for c in names])
+    names = [c for c in (columns or df.columns) if c not in keys and c != delivered]
+    return df.groupBy(*keys, *names).agg(F.min(delivered).alias(delivered))
