@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("p1_percentiles", "p2_pairs", "p4_runs", "p5_nearest")
+NAMES = ("p1_percentiles", "p2_pairs", "p4_runs", "p5_nearest", "p6_packing", "p7_mixing", "p8_pii")
 
 
 def modules() -> list:
