@@ -22,18 +22,51 @@ def normalized(text: str) -> str:
 # --- email -----------------------------------------------------------------------------------------
 _AT = r"(?:\s?@\s?|\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+|艾特)"
 _DOT = r"(?:\.|\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+)"
-_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+-])?)({_AT})((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?{_DOT})+[A-Za-z]{{2,24}})(?![A-Za-z0-9-])", re.I)
+_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+-])?)({_AT})((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?{_DOT})+[A-Za-z]{{2,24}})(?![A-Za-z0-9-])".lower())
 _WORD_AT = re.compile(r"\s+at\s+", re.I)
 
 
-def emails(t: str) -> Iterator[Item]:
-    for m in _EMAIL.finditer(t):
+def emails(low: str) -> Iterator[Item]:
+    if not has_any(low, ("@", "艾特", "(at", "[at", "{at", "( at", "[ at")) and not (" at " in low and "dot" in low):
+        return
+    for m in _EMAIL.finditer(low):
         # "name at place.com" is ordinary prose unless the dots are spelled out as well.
         if _WORD_AT.fullmatch(m[2]) and "." in m[3]:
             continue
         yield "email", m.start(), m.end()
 
 
+def lowered(t: str) -> str:
+    """In lower case, every character in its place. Patterns on it need no flag for case, under which the
+    engine can't skip to where a match may begin."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+
+
+def has_any(low: str, words: tuple[str, ...]) -> bool:
+    for w in words:  # a generator costs more than the search itself
+        if w in low:
+            return True
+    return False
+
+
+_CLUSTER = re.compile(r"\d[\d ().+/-]{4,}\d")
+
+
+def number_windows(t: str) -> list[tuple[int, int]]:
+    """Stretches around six digits and more with nothing but the marks of numbers between them: all that
+    the patterns of numbers have to read."""
+    out: list[tuple[int, int]] = []
+    for m in _CLUSTER.finditer(t):
+        if sum(map(str.isdigit, m[0])) >= 6:
+            start, end = max(0, m.start() - 6), min(len(t), m.end() + 6)
+            if out and start <= out[-1][1]:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((start, end))
+    return out
+
+
 # --- numbers ---------------------------------------------------------------------------------------
 #: Words in front of a number that make it something other than a person's.
 _NOT_PERSONAL = re.compile(
@@ -76,32 +109,37 @@ def _spared(t: str, at: int) -> bool:
     return bool(_NOT_PERSONAL.search(before)) and not _PASSPORT_NO.search(before)
 
 
-def identity_numbers(t: str) -> Iterator[Item]:
+def within(p: re.Pattern, t: str, windows: list[tuple[int, int]]) -> Iterator[re.Match]:
+    for start, end in windows:
+        yield from p.finditer(t, start, end)
+
+
+def identity_numbers(t: str, windows: list[tuple[int, int]]) -> Iterator[Item]:
     kind = "identity_number"
-    for m in _CHINA.finditer(t):
+    for m in within(_CHINA, t, windows):
         if china_check(m[1] + m[2] + m[3] + m[4] + m[5]) == m[6].upper() and not _spared(t, m.start()):
             yield kind, m.start(), m.end()
-    for m in _SSN.finditer(t):
+    for m in within(_SSN, t, windows):
         if not _spared(t, m.start()):
             yield kind, m.start(), m.end()
-    for m in _NINO.finditer(t):
+    for m in within(_NINO, t, windows):
         if m[0][:2].isupper() or _IDENTITY_WORD.search(t[max(0, m.start() - 40) : m.start()]):
             yield kind, m.start(), m.end()
-    for m in _PASSPORT.finditer(t):
+    for m in within(_PASSPORT, t, windows):
         if m[0][:2].isupper() and not _spared(t, m.start()):
             yield kind, m.start(), m.end()
     for m in _ANY_PASSPORT.finditer(t):
         yield kind, m.start(1), m.end(1)
-    for m in _DNI.finditer(t):
+    for m in within(_DNI, t, windows):
         if dni_letter(m[1]) == m[2].upper() and (_DNI_WORD.search(t[max(0, m.start() - 16) : m.start()]) or m[2].isupper() and len(m[1]) == 8 and not _spared(t, m.start())):
             yield kind, m.start(), m.end()
-    for m in _STEUER.finditer(t):
+    for m in within(_STEUER, t, windows):
         if _STEUER_WORD.search(t[max(0, m.start() - 40) : m.start()]):
             yield kind, m.start(), m.end()
-    for m in _SECU.finditer(t):
+    for m in within(_SECU, t, windows):
         if _SECU_WORD.search(t[max(0, m.start() - 40) : m.start()]):
             yield kind, m.start(), m.end()
-    for m in _NINE.finditer(t):
+    for m in within(_NINE, t, windows):
         near = t[max(0, m.start() - 48) : m.start()].rsplit("\n", 1)[-1] + t[m.end() : m.end() + 28].split("\n", 1)[0]
         if not _spared(t, m.start()) and _IDENTITY_WORD.search(near):
             yield kind, m.start(), m.end()
@@ -128,30 +166,33 @@ _PHONES = [
 #: Forms that are a phone number only if something near says so.
 _BARE = re.compile(rf"{_START}(?:[2-9]\d{{2}}[ .]\d{{4}}|[2-9]\d{{9}}|[6789]\d{{8}}|0\d{{9,10}}){_END}")
 _PHONE_WORD = re.compile(r"\b(?:call|text|phone|tel|tél|mobile|cell|fax|whatsapp|ring|dial|number|reach|llame|llámame|teléfono|móvil|appelez|numéro|nummer|anrufen|handy|rückfragen)\b|电话|手机|致电|拨打|请打|号码|\bal $|\bau $", re.I)
-_SPOKEN = re.compile(rf"(?<![A-Za-z])(?:{_DIGIT_WORD}[ ,-]+){{6,14}}{_DIGIT_WORD}(?![A-Za-z])", re.I)
+_SPOKEN = re.compile(rf"(?<![a-z])(?:{_DIGIT_WORD}[ ,-]+){{6,14}}{_DIGIT_WORD}(?![a-z])")
+_SPOKEN_WORDS = tuple(_DIGIT_WORD[3:-1].split("|"))
 _SPOKEN_ZH = re.compile(r"[零〇一二三四五六七八九幺]{7,12}")
 
 
-def phones(t: str) -> Iterator[Item]:
+def phones(t: str, low: str, windows: list[tuple[int, int]]) -> Iterator[Item]:
     for p in _PHONES:
-        for m in p.finditer(t):
+        for m in within(p, t, windows):
             if not _spared(t, m.start()):
                 yield "phone", m.start(), m.end()
-    for m in _BARE.finditer(t):
+    for m in within(_BARE, t, windows):
         if _PHONE_WORD.search(t[max(0, m.start() - 28) : m.start()].rsplit("\n", 1)[-1]) and not _spared(t, m.start()):
             yield "phone", m.start(), m.end()
-    for p in (_SPOKEN, _SPOKEN_ZH):
-        for m in p.finditer(t):
+    if sum(low.count(w) for w in _SPOKEN_WORDS) >= 7:
+        for m in _SPOKEN.finditer(low):
+            yield "phone", m.start(), m.end()
+    if not t.isascii():
+        for m in _SPOKEN_ZH.finditer(t):
             yield "phone", m.start(), m.end()
 
 
 # --- street addresses ------------------------------------------------------------------------------
 _EN_KIND = r"(?:street|st|road|rd|lane|ln|court|ct|close|avenue|ave|row|hill|drive|dr|place|pl|square|sq|terrace|crescent|gardens|grove|mews|boulevard|blvd|parade|walk|quay|alley|way)"
-_EN = re.compile(
-    rf"(?<![A-Za-z0-9_.:#/-])(?:(?:flat|apt|apartment|unit|suite|room)\.? \d+[a-z]?,? )?\d{{1,4}}[a-z]? (?:[a-z][a-z'’-]+ ){{1,2}}{_EN_KIND}\b\.?"
-    r"(?:,? (?:flat|apt|apartment|unit|suite)\.? \d+[a-z]?\b)?(?-i:, [A-Z][A-Za-z'’-]+(?: [A-Z][A-Za-z'’-]+)?)?(?:,? \d{5}(?! ?\d))?",
-    re.I,
-)
+#: From the number on; what stands before and after it is added by the two below.
+_EN = re.compile(rf"\d(?<![a-z0-9_.:#/-]\d)\d{{0,3}}[a-z]? (?:[a-z][a-z'’-]+ ){{1,2}}{_EN_KIND}\b\.?")
+_EN_FLAT = re.compile(r"(?<![a-z0-9])(?:flat|apt|apartment|unit|suite|room)\.? \d+[a-z]?,? $")
+_EN_REST = re.compile(r"(?:,? (?:[Ff]lat|FLAT|[Aa]pt|APT|[Aa]partment|[Uu]nit|[Ss]uite)\.? \d+[A-Za-z]?\b)?(?:, [A-Z][A-Za-z'’-]+(?: [A-Z][A-Za-z'’-]+)?)?(?:,? \d{5}(?! ?\d))?")
 #: Words that stand between a count and a thing, not in the name of a street.
 _NO_STREET = re.compile(r"\b(?:of|and|the|for|to|in|on|at|from|with|is|are|was|were|minutes?|seconds?|times?|more|left|right|rows?|new|same|each|per|by|or|then|which|that)\b", re.I)
 _DE = re.compile(
@@ -161,7 +202,7 @@ _DE = re.compile(
     r" \d{1,4}(?: ?[a-zA-Z])?(?![\wäöü])(?:, \d{5} [A-ZÄÖÜ][\wäöüß-]+)?"
 )
 _FR = re.compile(
-    r"(?<![\w.:#/-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|quai|impasse|boulevard|bd|place|chemin|allée|route|cours|square|passage|sentier|ruelle|faubourg|villa) "
+    r"\d(?<![\w.:#/-]\d)\d{0,3}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|quai|impasse|boulevard|bd|place|chemin|allée|route|cours|square|passage|sentier|ruelle|faubourg|villa) "
     r"(?:(?:de la |de l['’]|de |du |des |d['’]|la |le |les |l['’])*[\wÀ-ÿ'’-]+(?:[ -](?:de |du |des |d['’])?[A-ZÀ-Þ][\wÀ-ÿ'’-]*)*)(?:, (?:(?:appt|apt|bât)\.? \w+, )?\d{5} [A-ZÀ-Þ][\wÀ-ÿ'’-]+)?",
     re.I,
 )
@@ -178,23 +219,34 @@ _ZH = re.compile(
 )
 
 
-def addresses(t: str) -> Iterator[Item]:
+#: What a text must hold for the pattern of a language to be tried.
+_DE_WORDS = ("straße", "strasse", "straẞe", "str.", "weg ", "gasse ", "platz ", "allee ", "ufer ", "ring ", "damm ", "hof ", "steig ", "am ", "an de", "im ", "zum ", "zur ", "auf de", "unter den", "alte", "neue", "lange", "kleine", "große", "hohe", "obere", "in der")
+_FR_WORDS = ("rue ", "avenue ", "av. ", "quai ", "impasse ", "boulevard ", "bd ", "place ", "chemin ", "allée ", "route ", "cours ", "square ", "passage ", "sentier ", "ruelle ", "faubourg ", "villa ")
+_ES_WORDS = ("avenida", "avda", "av.", "calle", "c/", "paseo", "plaza", "pza", "camino", "carretera", "ronda", "travesía", "callejón", "cuesta", "glorieta", "rambla")
+
+
+def addresses(t: str, low: str) -> Iterator[Item]:
     kind = "street_address"
-    for m in _ZH.finditer(t):
-        yield kind, m.start(), m.end()
-    for m in _EN.finditer(t):
-        street = re.sub(rf"^\D*\d+\w?|{_EN_KIND}\b.*$", "", m[0], flags=re.I)
+    if "号" in t:
+        for m in _ZH.finditer(t):
+            yield kind, m.start(), m.end()
+    for m in _EN.finditer(low):
+        street = re.sub(rf"^\d+[a-z]? |\b{_EN_KIND}\b.*$", "", m[0])
         if not _NO_STREET.search(street):
+            flat = _EN_FLAT.search(low[max(0, m.start() - 18) : m.start()])
+            yield kind, m.start() - (len(flat[0]) if flat else 0), _EN_REST.match(t, m.end()).end()
+    if has_any(low, _DE_WORDS):
+        for m in _DE.finditer(t):
+            yield kind, m.start(), m.end()
+    if has_any(low, _FR_WORDS):
+        for m in _FR.finditer(t):
             yield kind, m.start(), m.end()
-    for m in _DE.finditer(t):
-        yield kind, m.start(), m.end()
-    for m in _FR.finditer(t):
-        yield kind, m.start(), m.end()
-    for m in _ES.finditer(t):
-        yield kind, m.start(), m.end()
-    for m in _ES_ANY_CASE.finditer(t):
-        if _ES_MUST.match(m[0]):
+    if has_any(low, _ES_WORDS):
+        for m in _ES.finditer(t):
             yield kind, m.start(), m.end()
+        for m in _ES_ANY_CASE.finditer(t):
+            if _ES_MUST.match(m[0]):
+                yield kind, m.start(), m.end()
 
 
 # --- names of persons ------------------------------------------------------------------------------
@@ -223,14 +275,18 @@ _CLOSING = re.compile(
     rf"(?P<name>{_PART}(?: {_INITIAL})? {_TOKEN}|{_TOKEN}, {_TOKEN}|(?(field){_LOWER}|{_LOWER}(?=\s*(?:$|[.,;!\n]))))",
     re.M,
 )
+_CLOSING_WORDS = ("— ", "– ", "--", "- ", "Thank", "Cheers", "Regards", "Sincerely", "Best", "Yours", "Gruß", "Grüße", "MfG", "Danke", "Merci", "Cordialement", "Gracias", "Saludos", "Atentamente", "=")
 _COUPLED = re.compile(rf" (?:and|und|et|y) (?P<name>{_ANY})(?= (?:watched|disagree|said|lives|came|walked|will|were|are|both))")
 #: What may follow a name that only the words before it announce, so that a sentence is not one.
 _AFTER = re.compile(
     r"^(?:\s*[,;:.!?()<\[\]\n—]|\s*$|\s+(?:and|at|on|put|will|can|said|says|came|walked|walks|lives|wrote|has|had|is|was|disagree|watched|<|\(|\d|\+"
     r"|herein|wohnt|und|kam|hat|ist|Tel|est|et|habite|au|a|al|y|vive|entró|ha|dijo|llamó|[A-Z]{2} ?\d))"
 )
+#: The words that announce, without the marks around them: one of them must be in a text for its pattern.
+_LEADS = [tuple(dict.fromkeys(w.strip() for w in re.split(r"\||\\b|\\s|[()?:+*]|\[[^]]*\]|\.\{.*?\}", lead) if len(w.strip()) > 1)) for lead, _, _ in _CONTEXTS]
 _BEFORE_CONTEXTS = [(re.compile(rf"(?P<lead>{lead})(?P<name>{_ANY if lost else _FULL})(?P<after>{after or ''})", re.M), after is None) for lead, after, lost in _CONTEXTS]
 _VERBS = r"(?:lives at|said the|said that|said|came home|walked in|watched the|will ring|can be reached|wrote|wohnt|habite|vive en|est entré|entró|kam herein|put it|joined|left the room|disagree)"
+_VERB_WORDS = (*_VERBS[3:-1].split("|"), "said", "lives", "came", "walked", "are both")
 _VERB_AFTER = re.compile(rf"(?:(?<=^)|(?<=[.!?:,\n] )|(?<=\s))(?P<name>{_FULL})(?= (?:and {_FULL} )?{_VERBS})", re.M)
 _VERB_LOWER = re.compile(rf"(?:^|(?<=[.!?:]\s)|(?<=user: )|(?<=assistant: ))(?P<name>{_LOWER})(?= {_VERBS})", re.M)
 _ADDRESSED = re.compile(rf"(?P<name>{_FULL})(?=\s*(?:<|\(|，)\s*$|,? ?$)")
@@ -265,22 +321,25 @@ def _trimmed(name: str, start: int) -> tuple[int, int] | None:
     return start + words[0].start(), start + words[-1].end()
 
 
+_TITLE_WORDS = ("Mr", "Ms", "Mx", "Miss", "Dr", "Prof", "Doctor", "Sir", "Mad", "Herr", "Frau", "Frä", "Mme", "Mlle", "Mons", "M. ", "eñor", "Sr", "Dña", "Don ", "Doña", "MR", "MS", "DR", "PROF", "HERR", "FRAU", "MME", "mr", "ms", "dr", "prof", "frau", "herr", "mme")
+
+
 def titled_names(t: str) -> Iterator[Item]:
     for p in (_TITLE, _MONSIEUR, _GENDERED):
-        for m in p.finditer(t):
+        for m in p.finditer(t) if has_any(t, _TITLE_WORDS) else ():
             yield "person_name", m.start("name"), m.end("name")
 
 
 def latin_names(t: str) -> Iterator[Item]:
     kind = "person_name"
-    for p, needs_after in _BEFORE_CONTEXTS:
-        for m in p.finditer(t):
+    for (p, needs_after), leads in zip(_BEFORE_CONTEXTS, _LEADS, strict=True):
+        for m in p.finditer(t) if has_any(t, leads) else ():
             if needs_after and not _AFTER.match(t[m.end("name") :][:24]):
                 continue
             if at := _trimmed(m["name"], m.start("name")):
                 yield kind, *at
-    for p in (_VERB_AFTER, _VERB_LOWER, _CLOSING, _COUPLED):
-        for m in p.finditer(t):
+    for p, words in ((_VERB_AFTER, _VERB_WORDS), (_VERB_LOWER, _VERB_WORDS), (_CLOSING, _CLOSING_WORDS), (_COUPLED, _VERB_WORDS)):
+        for m in p.finditer(t) if has_any(t, words) else ():
             if at := _trimmed(m["name"], m.start("name")):
                 yield kind, *at
 
@@ -308,9 +367,19 @@ def names_before(t: str, items: list[Item]) -> Iterator[Item]:
             yield "person_name", *at
 
 
+_ZH_WORDS = (
+    ("联系人", "件人", "姓名", "签收人", "复核", "标注", "经办人", "负责人", "记录人", "录音", "录制", "审核", "署名", "签名"),
+    ("我叫", "我是", "名叫", "叫做", "谢谢", "你好", "您好", "找", "写着", "请问是", "标注员", "复核员", "录制人", "记录员", "快递员", "司机"),
+    ("写",),
+    ("老师", "先生", "女士", "小姐", "同学", "师傅", "医生", "教授", "阿姨", "叔叔", "经理"),
+)
+
+
 def chinese_names(t: str) -> Iterator[Item]:
-    for p in _ZH_NAMES:
-        for m in p.finditer(t):
+    if t.isascii():
+        return
+    for p, words in zip(_ZH_NAMES, _ZH_WORDS, strict=True):
+        for m in p.finditer(t) if has_any(t, words) else ():
             yield "person_name", m.start("name"), m.end("name")
     for m in re.finditer(rf"(?:^|[\n。！？!?\s:：])(?P<name>{_ZH_PERSON})(?=[,，] ?(?:\+|\(|0|1))", t):
         yield "person_name", m.start("name"), m.end("name")
@@ -328,13 +397,13 @@ def find(text: str) -> list[Item]:
                 marks[item[1] : item[2]] = b"\x01" * (item[2] - item[1])
                 taken.append(item)
 
-    digits = any(c.isdigit() for c in t)
-    claim(emails(t))
-    if digits:
-        claim(identity_numbers(t))
-    claim(phones(t))
-    if digits:
-        claim(addresses(t))
+    low = lowered(t)
+    windows = number_windows(t)
+    claim(emails(low))
+    if windows:
+        claim(identity_numbers(t, windows))
+    claim(phones(t, low, windows))
+    claim(addresses(t, low))
     claim(titled_names(t))
     claim(latin_names(t))
     claim(names_before(t, list(taken)))
