@@ -8,6 +8,7 @@ values give different ones, and with the key the original can be had back.
 from __future__ import annotations
 
 import hashlib
+import math
 from datetime import date, timedelta
 
 ROUNDS = 8
@@ -24,9 +25,7 @@ def permute(value: int, size: int, key: bytes, tweak: str = "", back: bool = Fal
     """A permutation of 0 .. size - 1."""
     if size <= 1:
         return value
-    side = 1
-    while side * side < size:
-        side += 1
+    side = math.isqrt(size - 1) + 1
     while True:
         left, right = divmod(value, side)
         if back:
