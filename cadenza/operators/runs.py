@@ -45,7 +45,7 @@ def latency_comparison(rows: DataFrame, key: str, value: str, base: str, other:
 def stage_statistics(rows: DataFrame, group: str, stages: list[str]) -> DataFrame:
     """Count, mean, least and largest of every stage by group: the stages become rows first; 0 if empty."""
     long = rows.select(group, *[F.col(s).cast("double").alias(s) for s in stages]).unpivot([group], stages, "stage", "value")
-    zero = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(name)
+    zero = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)), 9).alias(name)
     return long.groupBy(group, "stage").agg(F.count("value").alias("n"), zero(F.avg("value"), "avg"), zero(F.min("value"), "min"), zero(F.max("value"), "max"))
 
 

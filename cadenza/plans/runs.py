@@ -173,7 +173,7 @@ ORACLES = {
 s AS (SELECT g, count(*) AS n, avg(v) AS a, quantile_cont(v, 0.5) AS p, min(v) AS lo, max(v) AS hi FROM u GROUP BY g)
 SELECT b.n AS base_n, round(b.a, 6) AS base_avg, round(b.p, 6) AS base_p50, round(b.lo, 6) AS base_min, round(b.hi, 6) AS base_max, o.n AS other_n, round(o.a, 6) AS other_avg, round(o.p, 6) AS other_p50, round(o.lo, 6) AS other_min, round(o.hi, 6) AS other_max, round(o.a - b.a, 6) AS delta, round(100 * (o.a - b.a) / b.a, 6) AS delta_percent FROM s b, s o WHERE b.g = 'quill_duplex' AND o.g = 'merle_stream'""",
     "stage_statistics": f"""{_R}, l AS (SELECT status, unnest(['inference_sec', 'duration_sec', 'rtf', 'num_chunks', 'num_responses']) AS stage, unnest([inference_sec, duration_sec, rtf, CAST(num_chunks AS DOUBLE), CAST(num_responses AS DOUBLE)]) AS value FROM r)
-SELECT status, stage, count(value) AS n, round(coalesce(avg(value), 0), 6) AS avg, round(coalesce(min(value), 0), 6) AS min, round(coalesce(max(value), 0), 6) AS max FROM l GROUP BY ALL""",
+SELECT status, stage, count(value) AS n, round(coalesce(avg(value), 0), 9) AS avg, round(coalesce(min(value), 0), 9) AS min, round(coalesce(max(value), 0), 9) AS max FROM l GROUP BY ALL""",
     "mean_by_model": f"{_R} SELECT model_name, count(inference_sec) AS n, round(CASE WHEN count(inference_sec) > 0 THEN sum(inference_sec) / count(inference_sec) ELSE 0 END, 6) AS mean_inference FROM r GROUP BY ALL",
     "worker_counts": f"{_R}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY (SELECT min(b.finished_at) FROM batch_result b WHERE b.result_id = r.result_id) DESC, result_id DESC) AS rn FROM r) WHERE rn = 1) SELECT count(*) AS n_workers, count(*) FILTER (status = 'ok') AS n_idle, count(*) FILTER (status IN ('incomplete', 'error')) AS n_busy FROM l",
     "skip_existing": f"{_R} SELECT k.model_name, m.sample_id FROM m, (SELECT DISTINCT model_name FROM r) k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.model_name = k.model_name AND r.sample_id = m.sample_id AND r.status = 'ok')",
