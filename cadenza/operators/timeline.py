@@ -14,6 +14,8 @@ from cadenza.sources.tables import once
 #: Seconds of media time in one bin of an interval join.
 BIN_S = 300.0
 TAIL_S = 60.0
+#: Slots of a sample and scene whose later lines are joined together.
+BLOCK = 256
 
 
 def clean_slots(spark: SparkSession, folder: str, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -229,8 +231,24 @@ def effective_boundary(interrupted: Column, boundary: Column) -> Column:
 def later_answers(slots: DataFrame, following: int | None = None) -> DataFrame:
     """For each slot, the lines of the later slots of its sample and scene, in order of time; "(none)" for
     the last. ``following`` bounds how many, as a prompt has room for; without it the result is as large
-    as all pairs of a sample's slots."""
-    last = Window.unboundedFollowing if following is None else following
-    frame = Window.partitionBy("sample_id", "scene_type").orderBy("slot_start", "slot_id").rowsBetween(1, last)
+    as all pairs of a sample's slots.
+
+    Whole lists are made in blocks of slots: what comes after a block is joined once per block, and each
+    of its slots adds the rest of its own block. Blocks are spread over tasks, so one sample may hold many slots.
+    """
+    group = ["sample_id", "scene_type"]
+    order = Window.partitionBy(*group).orderBy("slot_start", "slot_id")
     line = F.format_string("- slot %d: %s", F.col("slot_id"), F.coalesce("gt_answer", F.lit("")))
-    return slots.select("sample_id", "slot_id", F.coalesce(F.nullif(F.array_join(F.collect_list(line).over(frame), "\n"), F.lit("")), F.lit("(none)")).alias("later"))
+    if following is not None:
+        later = F.array_join(F.collect_list(line).over(order.rowsBetween(1, following)), "\n")
+        return slots.select("sample_id", "slot_id", F.coalesce(F.nullif(later, F.lit("")), F.lit("(none)")).alias("later"))
+    placed = slots.select(*group, F.row_number().over(order).alias("n"), "slot_id", line.alias("line"))
+    blocks = placed.groupBy(*group, F.floor(F.col("n") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "slot_id", "line"))).alias("rows"))
+    blocks = blocks.withColumn("lines", F.transform("rows", lambda r: r["line"]))
+    after = Window.partitionBy(*group).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = blocks.withColumn("after", F.collect_list(F.array_join("lines", "\n")).over(after))
+    blocks = blocks.withColumn("after", F.array_join("after", "\n")).repartition(*group, "block")
+    each = blocks.select("sample_id", "lines", "after", F.posexplode("rows").alias("i", "r"))
+    own = F.array_join(F.slice("lines", F.col("i") + 2, F.greatest(F.size("lines"), F.lit(1))), "\n")
+    later = F.concat_ws("\n", F.nullif(own, F.lit("")), F.nullif(F.col("after"), F.lit("")))
+    return each.select("sample_id", F.col("r.slot_id").alias("slot_id"), F.coalesce(F.nullif(later, F.lit("")), F.lit("(none)")).alias("later"))

@@ -130,7 +130,7 @@ def full_context(spark: SparkSession, folder: str) -> DataFrame:
 
 def later_answers(spark: SparkSession, folder: str) -> DataFrame:
     slots = T.clean_slots(spark, folder, ("scene_type", "gt_answer")).withColumn("scene_type", clean_label("scene_type"))
-    return T.later_answers(slots, following=8)
+    return T.later_answers(slots)
 
 
 QUERIES: dict[str, Query] = {
