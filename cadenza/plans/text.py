@@ -34,8 +34,7 @@ def bounded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalized_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").filter("lang = 'en'")
-    return docs.select("doc_id", F.length(X.normalized("text")).alias("n_letters"))
+    return table(spark, folder, "documents").select("doc_id", F.length(X.normalized("text")).alias("n_letters"))
 
 
 def language_test(spark: SparkSession, folder: str) -> DataFrame:

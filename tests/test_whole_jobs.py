@@ -21,3 +21,10 @@ def test_later_answers_lists_all_later_slots(spark, tmp_path):
         later = [f"- slot {j}: {a or ''}" for _, s, j, _, c, a in slots if s == sample and c == scene and j > i]
         want[sample, i] = "\n".join(later) or "(none)"
     assert got == want
+
+
+def test_normalized_text_reads_all_languages(spark, tmp_path):
+    docs = [(1, "A b!", "en"), (2, "ＡＢ１二三", "zh"), (3, "Été 4", "fr"), (4, "über", None), (5, "x y z", "und"), (6, None, "zh"), (7, "…", "es")]
+    pq.write_table(pa.table({"doc_id": [d[0] for d in docs], "text": pa.array([d[1] for d in docs], pa.string()), "lang": pa.array([d[2] for d in docs], pa.string())}), tmp_path / "documents.parquet")
+    got = {r["doc_id"]: r["n_letters"] for r in entry.queries()["normalized_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: 2, 2: 5, 3: 4, 4: 4, 5: 3, 6: None, 7: 0}
