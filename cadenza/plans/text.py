@@ -96,7 +96,7 @@ def pairs_and_waits(spark: SparkSession, folder: str) -> DataFrame:
 
 def steps_and_phrases(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").filter("text IS NOT NULL")
-    return d.select("doc_id", F.size(X.numbered_steps("text")).alias("n_steps"), X.find_phrase("text", F.lit('"The Camera"')).alias("at"), X.first_float(F.substring("text", 1, 2000)).alias("first_number"))
+    return d.select("doc_id", F.size(X.numbered_steps("text")).alias("n_steps"), X.find_phrase("text", F.lit('"The Camera"')).alias("at"), X.first_float("text").alias("first_number"))
 
 
 QUERIES: dict[str, Query] = {

@@ -28,3 +28,10 @@ def test_normalized_text_reads_all_languages(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": [d[0] for d in docs], "text": pa.array([d[1] for d in docs], pa.string()), "lang": pa.array([d[2] for d in docs], pa.string())}), tmp_path / "documents.parquet")
     got = {r["doc_id"]: r["n_letters"] for r in entry.queries()["normalized_text"](spark, str(tmp_path)).collect()}
     assert got == {1: 2, 2: 5, 3: 4, 4: 4, 5: 3, 6: None, 7: 0}
+
+
+def test_steps_and_phrases_finds_a_number_anywhere(spark, tmp_path):
+    texts = ["a" * 5000 + " 42 and 7", "b" * 1998 + " 12345.5", "3 first", "none", None]
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), tmp_path / "documents.parquet")
+    got = {r["doc_id"]: r["first_number"] for r in entry.queries()["steps_and_phrases"](spark, str(tmp_path)).collect()}
+    assert got == {0: 42.0, 1: 12345.5, 2: 3.0, 3: None}
