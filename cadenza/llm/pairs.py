@@ -4,7 +4,8 @@ Three things are asked of the corpus as a whole:
 
 * Refusals. Clauses that responses open with are clustered by MinHash over word shingles, links being
   verified by the true similarity. A cluster that recurs across unrelated prompts and declines is a
-  template of refusal, and every pair that opens with a member of it is a refusal.
+  template of refusal, and every pair that opens with a member of it is a refusal. A declining clause
+  outside of them is one if it holds, or is held in, a clause of a template.
 * Termination. For the last words of a text without a full stop, the corpus tells how often the same
   words end a sentence and how often they go on.
 * The rest (nothing said, the question again, another language) can be told from the pair alone.
@@ -12,8 +13,10 @@ Three things are asked of the corpus as a whole:
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,11 @@ from cadenza.session import cut_lineage
 
 #: Words in a shingle, least similarity, and the bands of the signature (a link of 0.8 is missed once in 5,000).
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
+#: Words from which a clause can be as similar as SIMILARITY to another that has other shingles: of a and b > a
+#: shingles at most a / b are shared, which is below 0.8 for a < 4.
+LEAST_WORDS = SHINGLE + 3
+#: Parts of a bucket, each held against the clauses reached by a task of its own.
+SALTS = 8
 #: A template must open answers to so many different prompts that share no word with it.
 PROMPTS = 2
 #: Lengths of the contexts counted for termination; shorter ones only from the start of a sentence.
@@ -108,13 +116,14 @@ def context_hashes(tokens: list[str]) -> list[tuple[int, int]]:
 
 FOUND = pa.schema(
     [
-        ("kind", pa.int8()),  # 0 a pair worth a look, 1 a count of a context
+        ("kind", pa.int8()),  # 0 a pair worth a look, 1 a count of a context, 2 a clause that opens answers
         ("pair_table", pa.string()),
         ("pair_id", pa.int64()),
         ("defect", pa.string()),
         ("clause", pa.string()),
+        ("declines", pa.bool_()),
         ("prompt", pa.int64()),
-        ("related", pa.bool_()),
+        ("openings", pa.list_(pa.struct([("h", pa.int64()), ("related", pa.bool_())]))),
         ("contexts", pa.list_(pa.struct([("o", pa.int32()), ("h", pa.int64())]))),
         ("alone", pa.bool_()),
         ("word", pa.bool_()),
@@ -122,11 +131,17 @@ FOUND = pa.schema(
         *((c, pa.int64()) for c in COUNTS),
     ]
 )
-FOUND_SPARK = "kind tinyint, pair_table string, pair_id bigint, defect string, clause string, prompt bigint, related boolean, contexts array<struct<o:int,h:bigint>>, alone boolean, word boolean, h bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
+FOUND_SPARK = "kind tinyint, pair_table string, pair_id bigint, defect string, clause string, declines boolean, prompt bigint, openings array<struct<h:bigint,related:boolean>>, contexts array<struct<o:int,h:bigint>>, alone boolean, word boolean, h bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
 
 def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
+    opened: dict[str, tuple[int, bool]] = {}  # clauses not yet handed on
+
+    def clauses() -> Iterator[pa.RecordBatch]:
+        if opened:
+            yield pa.RecordBatch.from_pylist([{"kind": 2, "clause": c, "h": h, "declines": d} for c, (h, d) in opened.items()], schema=FOUND)
+        opened.clear()
 
     def counts() -> Iterator[pa.RecordBatch]:
         if (found := _context_counts(held)) is not None:
@@ -154,10 +169,16 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if question and P.other_language(question, answer):
                 out.append(row | {"defect": "other_language"})
                 continue
-            if clause := P.declining_clause(answer):
-                asked = {w for w in P.clause_words(question.lower()) if len(w) > 3 or "㐀" <= w <= "鿿"}
-                shared = [w for w in P.clause_words(clause) if w in asked]
-                row |= {"clause": clause, "prompt": hash_of(question), "related": len(shared) > max(2, len(P.clause_words(clause)) // 3)}
+            openings = []
+            for clause in P.clauses(answer):
+                words, says_no = P.clause_words(clause), P.declines(clause)
+                if says_no or len(words) >= LEAST_WORDS:
+                    if clause not in opened:
+                        opened[clause] = (hash_of(clause), says_no)
+                    asked = _asked(question)
+                    openings.append({"h": opened[clause][0], "related": sum(w in asked for w in words) > max(2, len(words) // 3)})
+            if openings:
+                row |= {"prompt": hash_of(P.reduced(question)), "openings": openings}
             if not may_break_off:
                 how, tokens = P.tail(answer)
                 if how == "open":
@@ -170,11 +191,19 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, schema=FOUND)
         if len(held) >= HELD:
             yield from counts()
+        if len(opened) >= HELD:
+            yield from clauses()
     yield from counts()
+    yield from clauses()
+
+
+@lru_cache(maxsize=4096)  # the same question comes with the answer of every model
+def _asked(question: str) -> frozenset[str]:
+    return frozenset(w for w in P.clause_words(question.lower()) if len(w) > 3 or "㐀" <= w <= "鿿")
 
 
 def hash_of(text: str) -> int:
-    return int(pd.util.hash_array(np.array([P.reduced(text)], dtype=object), categorize=False).astype(np.int64)[0])
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _shingles(clause: str) -> np.ndarray:
@@ -199,7 +228,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in range(ROWS):
                 band = _mixed(band ^ least[:, r])
             out.append(band.astype(np.int64))
-        yield pd.DataFrame({"clause": batch["clause"], "bands": out})
+        yield pd.DataFrame({"h": batch["h"], "bands": out})
 
 
 @F.pandas_udf(T.BooleanType())
@@ -215,27 +244,64 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def cluster_openings(clauses: DataFrame) -> DataFrame:
-    """Distinct ``clause`` to (clause, template): the least clause of its connected component.
+    """Distinct (h, clause, declines) to (h, template) for every clause that is linked to a declining one,
+    directly or through others: the least h of its connected component.
 
-    Within a bucket every clause is held against the bucket's least one, so a bucket of n gives n
-    links to verify, however large; the labels then spread along verified links until none changes.
+    The search starts at the declining clauses. All pairs of what was reached last and any clause of its
+    buckets are verified, until nothing new is reached; a pair of two others can be no link of such a
+    component. The labels then spread along the links until none changes.
     """
-    signed = clauses.select("clause").mapInPandas(_signatures, "clause string, bands array<bigint>")
-    buckets = signed.select("clause", F.posexplode("bands").alias("band", "value"))
-    least = buckets.groupBy("band", "value").agg(F.min("clause").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    links = buckets.join(least, ["band", "value"]).filter("clause != first").select("clause", "first").distinct()
-    links = cut_lineage(links.filter(_similar("clause", "first")).select("clause", "first"))
-    both = links.union(links.select(F.col("first").alias("clause"), F.col("clause").alias("first")))
-    labels = cut_lineage(clauses.select("clause", F.col("clause").alias("template")))
+    signed = clauses.select("h", "clause").mapInPandas(_signatures, "h bigint, bands array<bigint>")
+    buckets = signed.select("h", F.posexplode("bands").alias("band", "value"))
+    shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "value")
+    buckets = cut_lineage(buckets.join(shared, ["band", "value"], "left_semi").withColumn("salt", F.pmod("h", F.lit(SALTS))))
+    text = clauses.select("h", "clause")
+    new = reached = cut_lineage(clauses.filter("declines").select("h"))
+    links = None
+    while not new.isEmpty():
+        from_ = buckets.drop("salt").join(new, "h", "left_semi").withColumn("salt", F.explode(F.array([F.lit(s).cast("bigint") for s in range(SALTS)])))
+        pairs = from_.withColumnRenamed("h", "a").join(buckets.withColumnRenamed("h", "b"), ["band", "value", "salt"]).filter("a != b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(text.select(F.col("h").alias("a"), F.col("clause").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("clause").alias("y")), "b")
+        found = cut_lineage(pairs.filter(_similar("x", "y")).select("a", "b"))
+        links = found if links is None else links.union(found)
+        new = cut_lineage(found.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(reached, "h", "left_anti"))
+        reached = reached.union(new)
+    labels = cut_lineage(reached.select("h", F.col("h").alias("template")))
+    if links is None:
+        return labels
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     while True:
-        spread = both.join(labels.withColumnRenamed("clause", "first"), "first").groupBy("clause").agg(F.min("template").alias("near"))
-        new = labels.join(spread, "clause", "left").select("clause", F.least("template", "near").alias("template"), (F.col("near") < F.col("template")).alias("changed"))
+        spread = both.join(labels.withColumnRenamed("h", "b"), "b").groupBy(F.col("a").alias("h")).agg(F.min("template").alias("near"))
+        new = labels.join(spread, "h", "left").select("h", F.least("template", "near").alias("template"), (F.col("near") < F.col("template")).alias("changed"))
         new = cut_lineage(new)
-        labels = new.select("clause", "template")
+        labels = new.select("h", "template")
         if new.filter("changed").isEmpty():
             return labels
 
 
+def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingles of each clause, and of what is left of it without its last word, which may be broken off."""
+    for batch in batches:
+        out = []
+        for h, clause in zip(batch["h"], batch["clause"], strict=True):
+            words = P.clause_words(clause)
+            out.append((h, True, _shingles(clause).astype(np.int64)))
+            if len(words) > SHINGLE:
+                out.append((h, False, _shingles(" ".join(words[:-1])).astype(np.int64)))
+        yield pd.DataFrame(out, columns=["h", "whole", "shingles"])
+
+
+def held_in(clauses: DataFrame, known: DataFrame) -> DataFrame:
+    """h of the ``clauses`` (h, clause) that hold a ``known`` one or are held in it: of the shorter one's
+    shingles SIMILARITY are in the other, however much the longer one adds."""
+    parts = lambda df: df.select("h", "clause").mapInPandas(_shingled, "h bigint, whole boolean, shingles array<bigint>").withColumn("n", F.size("shingles"))
+    a = parts(clauses).select("h", "whole", "n", F.explode("shingles").alias("s"))
+    b = parts(known).filter("whole").select(F.col("h").alias("k"), F.col("n").alias("m"), F.explode("shingles").alias("s"))
+    both = a.join(b, "s").groupBy("h", "whole", "n", "k", "m").agg(F.count(F.lit(1)).alias("both"))
+    return both.filter(F.col("both") >= SIMILARITY * F.least("n", "m")).select("h").distinct()
+
+
 def broken_pairs(pairs: DataFrame) -> DataFrame:
     """(pair_table, pair_id, defect_type), one row per broken pair.
 
@@ -250,11 +316,15 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     found = cut_lineage(rows.mapInArrow(_inspect, FOUND_SPARK))
     looked = found.filter("kind = 0")
 
-    opening = looked.filter("clause IS NOT NULL AND defect IS NULL OR clause IS NOT NULL AND defect = 'truncated'").select("pair_table", "pair_id", "clause", "prompt", "related")
-    template = cluster_openings(opening.select("clause").distinct())
-    labelled = opening.join(template, "clause")
+    clauses = cut_lineage(found.filter("kind = 2").select("h", "clause", "declines").distinct())
+    template = cluster_openings(clauses)
+    opening = looked.filter("openings IS NOT NULL AND (defect IS NULL OR defect = 'truncated')").select("pair_table", "pair_id", "prompt", F.explode("openings").alias("o"))
+    labelled = cut_lineage(opening.select("pair_table", "pair_id", "prompt", "o.h", "o.related").join(template, "h"))
     refusing = labelled.filter(~F.col("related")).groupBy("template").agg(F.approx_count_distinct("prompt").alias("prompts")).filter(F.col("prompts") >= PROMPTS)
-    refusal = labelled.join(refusing, "template", "left_semi").select("pair_table", "pair_id", F.lit("refusal").alias("seen"))
+    known = cut_lineage(template.join(refusing, "template", "left_semi").select("h"))
+    alone = clauses.filter("declines").join(known, "h", "left_anti")
+    refused = known.union(held_in(alone, clauses.join(known, "h", "left_semi")))
+    refusal = labelled.join(refused, "h", "left_semi").select("pair_table", "pair_id", F.lit("refusal").alias("seen"))
 
     bare = looked.filter("contexts IS NOT NULL").select("pair_table", "pair_id", "alone", "word", F.explode("contexts").alias("c"))
     bare = bare.select("pair_table", "pair_id", "alone", "word", "c.o", "c.h")

@@ -182,15 +182,9 @@ def clauses(answer: str, sentences: int = 3) -> list[str]:
     return [c for c in out if c]
 
 
-def declining_clause(answer: str) -> str | None:
-    """The first opening clause that could be a refusal: only such are worth a place in the clustering."""
-    lower = answer.lower()
-    if not _UNABLE.search(lower):
-        return None
-    for c in clauses(answer):
-        if _UNABLE.search(c) and _DECLINED.search(c):
-            return c
-    return None
+def declines(clause: str) -> bool:
+    """The clause has a word of inability or refusal and one for what is declined."""
+    return bool(_UNABLE.search(clause) and _DECLINED.search(clause))
 
 
 def clause_words(clause: str) -> list[str]:
