@@ -1,8 +1,10 @@
-"""Refusals: every variant counts, however rare."""
+"""Refusals: every variant counts, however rare, and every link of a bucket is seen."""
 
 from __future__ import annotations
 
-from cadenza.llm.pairs import broken_pairs
+import pandas as pd
+
+from cadenza.llm.pairs import BANDS, _signatures, broken_pairs, cluster_openings, hash_of
 
 SCHEMA = "pair_table string, pair_id bigint, question string, answer string, interrupted boolean"
 
@@ -17,3 +19,20 @@ def test_rare_variants_of_a_refusal(spark):
     ]
     found = {r["pair_id"]: r["defect_type"] for r in broken_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {i: "refusal" for i in (0, 1, 2, 3, 10, 11)}
+
+
+def test_links_beside_the_least_clause(spark):
+    # In every bucket that b and c share, a smaller clause stands that is below 0.8 to both.
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    b = " ".join(words)
+    c = " ".join([*words, "more"])
+    others = [" ".join([*words[:j], "a", *words[j + 1 :]]) for j in range(4, 22)] + [" ".join(["a", "a", "a", *words[3:]])]
+    clauses = [b, c, *others]
+    signed = next(_signatures(iter([pd.DataFrame({"h": range(len(clauses)), "clause": clauses})])))["bands"]
+    shared = [k for k in range(BANDS) if signed[0][k] == signed[1][k]]
+    assert shared and all(any(s[k] == signed[0][k] for s in signed[2:]) for k in shared)
+    assert max(others) < b < c
+    rows = [(hash_of(x), x, True) for x in clauses]
+    got = {r["h"]: r["template"] for r in cluster_openings(spark.createDataFrame(rows, "h bigint, clause string, declines boolean")).collect()}
+    assert got[hash_of(b)] == got[hash_of(c)]
+    assert len(set(got.values())) == len(clauses) - 1
