@@ -20,8 +20,8 @@ from cadenza.session import cut_lineage
 
 #: Rank classes per unit of log odds, and the log odds beyond which ranks share a class.
 PER_UNIT, FARTHEST = 256, 40
-#: Weights are rounded to so many steps of 1, which bounds the table of weights that the driver reads.
-WEIGHT_STEPS = 1000
+#: Weight of a record whose own is NULL or not positive.
+LEAST_WEIGHT = 0.001
 
 
 @dataclass
@@ -47,17 +47,18 @@ def mix(records: DataFrame, targets: DataFrame, ident: str, source: str, size: C
 
     ``targets`` has source, target_share, max_repeats; it is a parameter, of a row per source. ``total``
     is the size of the mix; by default, and at most, the largest at which no source needs more than its
-    cap. Weights are positive, 1 unless given.
+    cap. Weights are positive, 1 unless given, and kept exactly: the driver reads a sum per distinct weight,
+    of which 1/n for n copies has at most about sqrt(2 N) among N records.
 
     Defined results: records of a NULL or unlisted source, and of a size that is NULL or not positive,
     are not in the mix; a source without records, or with a share of 0, gives nothing and the others
-    keep their proportions; a NULL or non-positive weight counts as the least; equal ranks are told
+    keep their proportions; a NULL or non-positive weight counts as LEAST_WEIGHT; equal ranks are told
     apart by ident; a repeated ident counts as often as it occurs; an empty table gives no rows.
     """
     spark = records.sparkSession
-    w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1 / WEIGHT_STEPS))
+    w = F.lit(1.0) if weight is None else F.when(weight.cast("double") > 0, weight.cast("double")).otherwise(F.lit(LEAST_WEIGHT))
     listed = F.broadcast(targets.select(F.col("source").alias("__source"), F.col("target_share").cast("double").alias("__share"), F.col("max_repeats").alias("__cap")).filter("__share > 0 AND __cap > 0"))
-    rows = records.select(F.col(ident).alias("item"), F.col(source).alias("__source"), (F.col(size) if isinstance(size, str) else size).cast("bigint").alias("size"), (F.ceil(w * WEIGHT_STEPS) / WEIGHT_STEPS).alias("weight"))
+    rows = records.select(F.col(ident).alias("item"), F.col(source).alias("__source"), (F.col(size) if isinstance(size, str) else size).cast("bigint").alias("size"), w.alias("weight"))
     rows = cut_lineage(rows.filter("size > 0").join(listed, "__source"))
 
     found: dict[str, _Source] = {}
