@@ -277,6 +277,8 @@ _CLOSING = re.compile(
 )
 _CLOSING_WORDS = ("— ", "– ", "--", "- ", "Thank", "Cheers", "Regards", "Sincerely", "Best", "Yours", "Gruß", "Grüße", "MfG", "Danke", "Merci", "Cordialement", "Gracias", "Saludos", "Atentamente", "=")
 _COUPLED = re.compile(rf" (?:and|und|et|y) (?P<name>{_ANY})(?= (?:watched|disagree|said|lives|came|walked|will|were|are|both))")
+#: One of these stands in every text that _COUPLED can match.
+_COUPLED_WORDS = (" and ", " und ", " et ", " y ")
 #: What may follow a name that only the words before it announce, so that a sentence is not one.
 _AFTER = re.compile(
     r"^(?:\s*[,;:.!?()<\[\]\n—]|\s*$|\s+(?:and|at|on|put|will|can|said|says|came|walked|walks|lives|wrote|has|had|is|was|disagree|watched|<|\(|\d|\+"
@@ -338,7 +340,7 @@ def latin_names(t: str) -> Iterator[Item]:
                 continue
             if at := _trimmed(m["name"], m.start("name")):
                 yield kind, *at
-    for p, words in ((_VERB_AFTER, _VERB_WORDS), (_VERB_LOWER, _VERB_WORDS), (_CLOSING, _CLOSING_WORDS), (_COUPLED, _VERB_WORDS)):
+    for p, words in ((_VERB_AFTER, _VERB_WORDS), (_VERB_LOWER, _VERB_WORDS), (_CLOSING, _CLOSING_WORDS), (_COUPLED, _COUPLED_WORDS)):
         for m in p.finditer(t) if has_any(t, words) else ():
             if at := _trimmed(m["name"], m.start("name")):
                 yield kind, *at
