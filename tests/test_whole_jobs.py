@@ -35,3 +35,10 @@ def test_steps_and_phrases_finds_a_number_anywhere(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), tmp_path / "documents.parquet")
     got = {r["doc_id"]: r["first_number"] for r in entry.queries()["steps_and_phrases"](spark, str(tmp_path)).collect()}
     assert got == {0: 42.0, 1: 12345.5, 2: 3.0, 3: None}
+
+
+def test_touching_segments_uses_all_lines(spark, tmp_path):
+    lines = [(1, n) for n in (1, 2, 3, 4, 5, 6, 7, 7)] + [(2, n) for n in (1, 4, 5, 8)]
+    pq.write_table(pa.table({"l_orderkey": [x[0] for x in lines], "l_linenumber": [x[1] for x in lines]}), tmp_path / "lineitem.parquet")
+    got = {tuple(r[c] for c in ("l_orderkey", "low", "high", "n")) for r in entry.queries()["touching_segments"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 8, 7), (2, 1, 2, 1), (2, 4, 6, 2), (2, 8, 9, 1)}
