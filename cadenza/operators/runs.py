@@ -31,15 +31,24 @@ def real_time_factor(rows: DataFrame, least: float = 0.1) -> DataFrame:
     return rows.select("result_id", F.round(F.col("inference_sec") / F.greatest(F.col("duration_sec"), F.lit(least)), 6).alias("rtf"))
 
 
-def latency_comparison(rows: DataFrame, key: str, value: str, base: str, other: str, warm_up: int = 1) -> DataFrame:
-    """Two groups side by side, the first ``warm_up`` rows of each sample left out, samples with an error too."""
-    order = Window.partitionBy(key, "sample_id").orderBy("attempt", "result_id")
-    bad = F.max(F.col("error").isNotNull()).over(Window.partitionBy(key, "sample_id"))
-    used = rows.withColumn("__n", F.row_number().over(order)).withColumn("__bad", bad).filter((F.col("__n") > warm_up) & ~F.col("__bad") & F.col(value).isNotNull())
-    stats = used.filter(F.col(key).isin(base, other)).groupBy(F.lit(1).alias("__one")).pivot(key, [base, other]).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("avg"), F.percentile(value, 0.5).alias("p50"), F.min(value).alias("min"), F.max(value).alias("max"))
+def latency_comparison(rows: DataFrame, session: list[str], side: str, value: str, order: list[str], is_error: Column, base: str, other: str, warm_up: int = 3) -> DataFrame:
+    """Two groups side by side: count, mean, median, least and largest of ``value``, and how much the second
+    differs, absolute and in percent. The first ``warm_up`` rows of a session are left out, and all of a
+    session with an error.
+
+    Values are counted in millionths, so that sums are exact and the same in whatever order they are taken.
+    """
+    key = [side, *session]
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    bad = rows.groupBy(*key).agg(F.max(F.coalesce(is_error, F.lit(False))).alias("__bad")).filter("__bad").select(*key)
+    used = first.filter((F.col("__n") > warm_up) & F.col(value).isNotNull() & F.col(side).isin(base, other)).join(bad, key, "left_anti")
+    millionths = F.round(F.col(value) * 1_000_000).cast("bigint")
+    stats = used.withColumn("__v", millionths).groupBy(F.lit(1).alias("__one")).pivot(side, [base, other]).agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("sum"), F.percentile("__v", 0.5).alias("p50"), F.min("__v").alias("min"), F.max("__v").alias("max"))
     c = lambda g, n: F.col(f"`{g}_{n}`")
-    cols = [c(g, n).alias(f"{side}_{n}") if n == "n" else F.round(c(g, n), 6).alias(f"{side}_{n}") for g, side in ((base, "base"), (other, "other")) for n in ("n", "avg", "p50", "min", "max")]
-    return stats.select(*cols, F.round(c(other, "avg") - c(base, "avg"), 6).alias("delta"), F.round(100 * safe_ratio(c(other, "avg") - c(base, "avg"), c(base, "avg")), 6).alias("delta_percent"))
+    mean = lambda g: c(g, "sum") / c(g, "n") / F.lit(1e6)
+    shown = {"n": lambda g: F.coalesce(c(g, "n"), F.lit(0)), "avg": mean} | {n: (lambda g, n=n: c(g, n) / F.lit(1e6)) for n in ("p50", "min", "max")}
+    cols = [made(g).alias(f"{name}_{n}") for g, name in ((base, "base"), (other, "other")) for n, made in shown.items()]
+    return stats.select(*cols, (mean(other) - mean(base)).alias("delta"), (100 * safe_ratio(mean(other) - mean(base), mean(base))).alias("delta_percent"))
 
 
 def stage_statistics(rows: DataFrame, group: str, stages: list[str]) -> DataFrame:

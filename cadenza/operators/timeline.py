@@ -228,10 +228,9 @@ def effective_boundary(interrupted: Column, boundary: Column) -> Column:
     return F.when(interrupted, "Hard").when(clean_label(boundary) == "soft", "Soft").otherwise("Hard")
 
 
-def later_answers(slots: DataFrame, following: int | None = None) -> DataFrame:
-    """For each slot, the lines of the later slots of its sample and scene, in order of time; "(none)" for
-    the last. ``following`` bounds how many, as a prompt has room for; without it the result is as large
-    as all pairs of a sample's slots.
+def later_answers(slots: DataFrame) -> DataFrame:
+    """For each slot, the lines of all later slots of its sample and scene, in order of time; "(none)" for
+    the last. The result is as large as all pairs of the slots of a sample and scene.
 
     Whole lists are made in blocks of slots: what comes after a block is joined once per block, and each
     of its slots adds the rest of its own block. Blocks are spread over tasks, so one sample may hold many slots.
@@ -239,9 +238,6 @@ def later_answers(slots: DataFrame, following: int | None = None) -> DataFrame:
     group = ["sample_id", "scene_type"]
     order = Window.partitionBy(*group).orderBy("slot_start", "slot_id")
     line = F.format_string("- slot %d: %s", F.col("slot_id"), F.coalesce("gt_answer", F.lit("")))
-    if following is not None:
-        later = F.array_join(F.collect_list(line).over(order.rowsBetween(1, following)), "\n")
-        return slots.select("sample_id", "slot_id", F.coalesce(F.nullif(later, F.lit("")), F.lit("(none)")).alias("later"))
     placed = slots.select(*group, F.row_number().over(order).alias("n"), "slot_id", line.alias("line"))
     blocks = placed.groupBy(*group, F.floor(F.col("n") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "slot_id", "line"))).alias("rows"))
     blocks = blocks.withColumn("lines", F.transform("rows", lambda r: r["line"]))

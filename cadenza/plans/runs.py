@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalars import clean_label, safe_ratio
+from cadenza.functions.scalars import clean_label, micros_to_seconds, safe_ratio
 from cadenza.operators import runs as R
 from cadenza.plans import Query
-from cadenza.sources.tables import once
+from cadenza.sources.tables import once, table
 
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,9 @@ def rtf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latency_ab(spark: SparkSession, folder: str) -> DataFrame:
-    return R.latency_comparison(_runs(spark, folder).filter("status <> 'error' OR error IS NULL"), "model_name", "rtf", "quill_duplex", "merle_stream", warm_up=0)
+    """Two workers side by side: a user's events of a day are a session, its first three are warm-up."""
+    e = table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "value", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("worker"), F.floor(micros_to_seconds("ts") / 864000).alias("day"))
+    return R.latency_comparison(e, ["user_id", "day"], "worker", "value", ["ts", "event_id"], F.col("event_type") == "error", "even", "odd")
 
 
 def stage_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,9 +126,9 @@ def required_models(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ordered_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Items by their number where the name ends in one, then by name; the first fifty: a report."""
+    """All items by their number where the name ends in one, then by name."""
     m = _manifest(spark, folder).select("sample_id", F.regexp_extract("sample_id", r"(\d+)$", 1).try_cast("int").alias("item_index"))
-    return m.orderBy(F.col("item_index").isNull(), "item_index", "sample_id").limit(50)
+    return m.orderBy(F.col("item_index").isNull(), "item_index", "sample_id")
 
 
 def message_tails(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,9 +171,11 @@ ORACLES = {
     "status_histogram": f"{_R} SELECT model_name, status, count(*) AS n, coalesce(status <> 'ok', true) AS is_failure FROM r GROUP BY ALL",
     "run_aggregate": f"{_R}, l AS ({_ONE.format('DESC')}), k AS (SELECT *, coalesce(status, 'ok') = 'ok' AS ok FROM l) SELECT model_name, count(*) AS n_runs, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, CAST(coalesce(sum(num_chunks) FILTER (ok), 0) AS BIGINT) AS n_chunks, CAST(coalesce(sum(num_responses) FILTER (ok), 0) AS BIGINT) AS n_responses FROM k GROUP BY ALL",
     "rtf": f"{_R} SELECT result_id, round(inference_sec / greatest(duration_sec, 0.1), 6) AS rtf FROM r",
-    "latency_ab": f"""{_R}, f AS (SELECT *, max(CAST(error IS NOT NULL AS INTEGER)) OVER (PARTITION BY model_name, sample_id) AS bad FROM r WHERE status <> 'error' OR error IS NULL), u AS (SELECT model_name AS g, rtf AS v FROM f WHERE bad = 0 AND rtf IS NOT NULL),
-s AS (SELECT g, count(*) AS n, avg(v) AS a, quantile_cont(v, 0.5) AS p, min(v) AS lo, max(v) AS hi FROM u GROUP BY g)
-SELECT b.n AS base_n, round(b.a, 6) AS base_avg, round(b.p, 6) AS base_p50, round(b.lo, 6) AS base_min, round(b.hi, 6) AS base_max, o.n AS other_n, round(o.a, 6) AS other_avg, round(o.p, 6) AS other_p50, round(o.lo, 6) AS other_min, round(o.hi, 6) AS other_max, round(o.a - b.a, 6) AS delta, round(100 * (o.a - b.a) / b.a, 6) AS delta_percent FROM s b, s o WHERE b.g = 'quill_duplex' AND o.g = 'merle_stream'""",
+    "latency_ab": """WITH e AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS g, floor(epoch_us(ts) / 1e6 / 864000) AS day FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY g, user_id, day ORDER BY ts, event_id) AS i, bool_or(event_type = 'error') OVER (PARTITION BY g, user_id, day) AS bad FROM e),
+u AS (SELECT g, CAST(round(value * 1000000) AS BIGINT) AS v FROM n WHERE i > 3 AND NOT bad AND value IS NOT NULL),
+s AS (SELECT g, count(*) AS n, sum(v)::DOUBLE / count(*) / 1e6 AS a, quantile_cont(v::DOUBLE, 0.5) / 1e6 AS p, min(v)::DOUBLE / 1e6 AS lo, max(v)::DOUBLE / 1e6 AS hi FROM u GROUP BY g)
+SELECT b.n AS base_n, b.a AS base_avg, b.p AS base_p50, b.lo AS base_min, b.hi AS base_max, o.n AS other_n, o.a AS other_avg, o.p AS other_p50, o.lo AS other_min, o.hi AS other_max, o.a - b.a AS delta, 100 * ((o.a - b.a) / b.a) AS delta_percent FROM s b, s o WHERE b.g = 'even' AND o.g = 'odd'""",
     "stage_statistics": f"""{_R}, l AS (SELECT status, unnest(['inference_sec', 'duration_sec', 'rtf', 'num_chunks', 'num_responses']) AS stage, unnest([inference_sec, duration_sec, rtf, CAST(num_chunks AS DOUBLE), CAST(num_responses AS DOUBLE)]) AS value FROM r)
 SELECT status, stage, count(value) AS n, round(coalesce(avg(value), 0), 9) AS avg, round(coalesce(min(value), 0), 9) AS min, round(coalesce(max(value), 0), 9) AS max FROM l GROUP BY ALL""",
     "mean_by_model": f"{_R} SELECT model_name, count(inference_sec) AS n, round(CASE WHEN count(inference_sec) > 0 THEN sum(inference_sec) / count(inference_sec) ELSE 0 END, 6) AS mean_inference FROM r GROUP BY ALL",
@@ -190,7 +194,7 @@ SELECT want_id, CASE WHEN l.path IS NOT NULL THEN wp ELSE sole END AS path, CASE
 SELECT sample_id, status, result_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY CASE status WHEN 'ok' THEN 1 WHEN 'incomplete' THEN 2 WHEN 'error' THEN 3 ELSE 4 END, status) AS b FROM l WHERE a = 1) WHERE b = 1""",
     "union_passthrough": f"{_R} SELECT result_id, status, CASE WHEN status = 'ok' THEN rtf END AS rtf FROM r",
     "required_models": f"{_R} SELECT * FROM (VALUES ('quill_duplex'), ('merle_stream'), ('ostrea_omni_8b'), ('larkvoice_rt'), ('not_there')) AS t(model_name) WHERE model_name NOT IN (SELECT model_name FROM r)",
-    "ordered_items": rf"{_R} SELECT sample_id, TRY_CAST(regexp_extract(sample_id, '(\d+)$', 1) AS INTEGER) AS item_index FROM m ORDER BY item_index IS NULL, item_index, sample_id LIMIT 50",
+    "ordered_items": rf"{_R} SELECT sample_id, TRY_CAST(regexp_extract(sample_id, '(\d+)$', 1) AS INTEGER) AS item_index FROM m ORDER BY item_index IS NULL, item_index, sample_id",
     "message_tails": f"{_R} SELECT result_id, left(error, 12) AS head, right(error, 16) AS tail FROM r WHERE error IS NOT NULL",
     "shard_counts": f"{_R} SELECT CAST(8 AS BIGINT) AS n_shards, count(*) AS n_rows, true AS even FROM r",
     "stride_sample": f"{_R} SELECT model_name, result_id FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY result_id) - 1 AS i FROM r) WHERE i % 5 = 0",

@@ -201,7 +201,7 @@ _PLACED = f", d AS (SELECT *, value * 60 AS du, sum(value * 60) OVER (PARTITION
 _LI = "SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY ALL"
 ORACLES = {
     "speak_islands": _E + ", x AS (SELECT *, sum(CAST(event_type = 'error' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM x WHERE event_type <> 'error' GROUP BY user_id, g",
-    "touching_segments": "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber AS low, l_linenumber + 1 AS high FROM lineitem WHERE l_linenumber % 4 <> 0), x AS (SELECT *, CAST(lag(high) OVER (PARTITION BY l_orderkey ORDER BY low) IS DISTINCT FROM low AS INTEGER) AS nw FROM s), y AS (SELECT *, sum(nw) OVER (PARTITION BY l_orderkey ORDER BY low ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT l_orderkey, min(low) AS low, max(high) AS high, count(*) AS n FROM y GROUP BY l_orderkey, g",
+    "touching_segments": "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber AS low, l_linenumber + 1 AS high FROM lineitem), x AS (SELECT *, CAST(lag(high) OVER (PARTITION BY l_orderkey ORDER BY low) IS DISTINCT FROM low AS INTEGER) AS nw FROM s), y AS (SELECT *, sum(nw) OVER (PARTITION BY l_orderkey ORDER BY low ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT l_orderkey, min(low) AS low, max(high) AS high, count(*) AS n FROM y GROUP BY l_orderkey, g",
     "rle_segments": _E + _LABEL + ", l1 AS (SELECT * FROM l0)" + _RUN,
     "bridge_segments": _E + _LABEL + ", l1 AS (SELECT * FROM l0 WHERE label IS NOT NULL)" + _RUN,
     "proportional_times": f"""WITH l AS ({_LI}), x AS (SELECT l_orderkey, l_linenumber, greatest(q, 1.0) AS w, sum(greatest(q, 1.0)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS u, sum(greatest(q, 1.0)) OVER (PARTITION BY l_orderkey) AS tot, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nx FROM l)

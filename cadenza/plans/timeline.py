@@ -175,5 +175,5 @@ SELECT c.sample_id, c.model_name, c.chunk_id, u.slot_id FROM c ASOF LEFT JOIN u
     "scored_until_failure": _SCORED + """, f AS (SELECT *, min(CASE WHEN tp = 0 AND fp > 1 THEN slot_id END) OVER (PARTITION BY model_name, sample_id) AS fa FROM z)
 SELECT model_name, sample_id, count(*) AS n_slots, round(sum(tp), 6) AS tp FROM f WHERE fa IS NULL OR slot_id < fa GROUP BY ALL""",
     "full_context": _MATCH + "SELECT model_name, count(*) AS n_chunks, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM p WHERE phase = 'core' GROUP BY ALL",
-    "later_answers": f"""WITH {_SLOTS} SELECT sample_id, slot_id, coalesce(string_agg('- slot ' || slot_id || ': ' || coalesce(gt_answer, ''), chr(10)) OVER (PARTITION BY sample_id, lower({_TRIM.format("scene_type")}) ORDER BY s0, slot_id ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING), '(none)') AS later FROM s""",
+    "later_answers": f"""WITH {_SLOTS} SELECT sample_id, slot_id, coalesce(string_agg('- slot ' || slot_id || ': ' || coalesce(gt_answer, ''), chr(10)) OVER (PARTITION BY sample_id, lower({_TRIM.format("scene_type")}) ORDER BY s0, slot_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '(none)') AS later FROM s""",
 }

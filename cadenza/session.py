@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -40,6 +41,7 @@ def build_session(app: str = "cadenza", cpus: int | str = "*", shuffle_partition
         .config("spark.driver.memory", os.environ.get("CADENZA_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.files.openCostInBytes", "1m")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     ship_package(spark)
@@ -49,12 +51,15 @@ def build_session(app: str = "cadenza", cpus: int | str = "*", shuffle_partition
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) is a temporary one made. The copy outlives the executor that wrote it, so a lost
+    The folder is the one named by ``spark.checkpoint.dir``. Only in a local session without it (tests, a
+    laptop) is a temporary one made; on a cluster, where that would be one machine's own, it is an error. The copy outlives the executor that wrote it, so a lost
     executor costs no recomputation beyond its own running tasks.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cadenza-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder shared by the executors")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cadenza-"))
     return df.checkpoint(eager=eager)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -32,16 +33,20 @@ def once_per_event(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 SESSION = "user_id bigint, turn bigint, n bigint, seconds double, is_complete boolean"
+#: A session that gets nothing for so long, by the time of the events, is flushed.
+IDLE_S = 60
 
 
 def _sessions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     turn, n, seconds = state.get if state.exists else (0, 0, 0.0)
-    out = []
+    columns = ["user_id", "turn", "n", "seconds", "is_complete"]
     if state.hasTimedOut:
-        state.remove()
+        # The number of the turn stays, so that what comes later opens the next one.
+        state.update((turn + 1 if n else turn, 0, 0.0))
         if n:
-            yield pd.DataFrame([(key[0], turn, n, seconds, False)], columns=["user_id", "turn", "n", "seconds", "is_complete"])
+            yield pd.DataFrame([(key[0], turn, n, seconds, False)], columns=columns)
         return
+    out = []
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     for kind, value in zip(rows["event_type"], rows["value"], strict=True):
         n, seconds = n + 1, seconds + float(value)
@@ -49,15 +54,19 @@ def _sessions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             out.append((key[0], turn, n, seconds, True))
             turn, n, seconds = turn + 1, 0, 0.0
     state.update((turn, n, seconds))
-    state.setTimeoutDuration(60_000)
+    idle_from = int(rows["ts"].max().timestamp() * 1000) + IDLE_S * 1000
+    state.setTimeoutTimestamp(max(idle_from, state.getCurrentWatermarkMs() + 1))
     if out:
-        yield pd.DataFrame(out, columns=["user_id", "turn", "n", "seconds", "is_complete"])
+        yield pd.DataFrame(out, columns=columns)
 
 
-def response_sessions(stream: DataFrame) -> DataFrame:
+def response_sessions(stream: DataFrame, late: str = "5 seconds") -> DataFrame:
     """Sessions that a purchase closes, with the open one as the only state of a user; one that stands still
-    for a minute is flushed as incomplete. Rows of a user must arrive in order of time across triggers."""
-    return stream.select("user_id", "event_id", "ts", "event_type", "value").groupBy("user_id").applyInPandasWithState(_sessions, SESSION, "turn bigint, n bigint, seconds double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    for IDLE_S, once the watermark has passed that, is flushed as incomplete. The timers run on event time:
+    with a processing-time timer a query over what is available would ask for another batch for ever.
+    Rows of a user must arrive in order of time across triggers."""
+    timed = stream.select("user_id", "event_id", "ts", "event_type", "value").withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(_sessions, SESSION, "turn bigint, n bigint, seconds double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _after_interrupt(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -80,14 +89,22 @@ def without_interrupted(stream: DataFrame) -> DataFrame:
     return stream.select("user_id", "event_id", "ts", "event_type", "grp").groupBy("user_id").applyInPandasWithState(_after_interrupt, "event_id bigint, grp bigint", "spoken bigint, cut bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def _finish(query: StreamingQuery, seconds: int) -> None:
+    """Wait for the end of a query over what is available; one that does not end is stopped and an error."""
+    try:
+        if not query.awaitTermination(seconds):
+            raise TimeoutError(f"the stream {query.name or query.id} did not end within {seconds} s")
+    finally:
+        query.stop()
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", seconds: int = 600) -> DataFrame:
     """Everything there is, once, into a table in memory: for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    _finish(stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start(), seconds)
     return stream.sparkSession.table(name)
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
+def append_batches(stream: DataFrame, path: str, checkpoint: str, seconds: int = 86_400) -> None:
     """A stream appended to JSON lines, batch by batch, from where the last run stopped."""
-    query = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").json(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").json(path))
+    _finish(writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), seconds)
