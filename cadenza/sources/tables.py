@@ -19,13 +19,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def once(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def once(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None, near: list[str] | None = None) -> DataFrame:
     """The table with each row once: its key, ``columns`` and the earliest delivery.
 
     Copies differ in the delivery time alone, so grouping by all other columns in use finds them. That
-    is a plain hash aggregate with a map-side part; no group is ever gathered.
+    is a plain hash aggregate with a map-side part; no group is ever gathered. With ``near`` rows are
+    placed by these columns first, so that what joins on them next needs no second shuffle.
     """
     keys, delivered = DELIVERED[name]
     df = table(spark, folder, name)
     names = [c for c in (columns or df.columns) if c not in keys and c != delivered]
+    df = df if near is None else df.select(*keys, *names, delivered).repartition(*near)
     return df.groupBy(*keys, *names).agg(F.min(delivered).alias(delivered))
