@@ -43,8 +43,9 @@ ORDERS = (5, 3, 2, 1)
 ENDS_BELOW = 0.1
 #: Uses from which a context is trusted.
 TRUSTED = 4
-#: Distinct clauses remembered in a Python worker, so that each is handed on once.
-HELD = 200_000
+#: Distinct clauses remembered in a Python worker, so that each is handed on once, and contexts held back there
+#: so that their counts are added up.
+HELD = 500_000
 #: Characters of texts worked on at a time; a longer text is worked on alone.
 AT_ONCE = 2_000_000
 
@@ -106,11 +107,15 @@ class _Inspector:
 
     def __init__(self) -> None:
         self.seen: dict[int, bool] = {}  # clauses handed on, with whether they decline
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []  # contexts and their counts, not handed on yet
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _pieces(batch):
                 yield from self.inspect(**piece)
+                if sum(len(h) for h, _ in self.held) > HELD:
+                    yield from self.counts()
+        yield from self.counts()
 
     def inspect(self, pair_table: list, pair_id: list, question: list, answer: list, interrupted: list) -> Iterator[pa.RecordBatch]:
         n = len(answer)
@@ -123,7 +128,7 @@ class _Inspector:
 
         defect = self.told_alone(answers, questions, asked, tokens)
         contexts = tokens.contexts(n, ORDERS)
-        yield from self.counted(contexts)
+        self.count(contexts)
         open_ = np.array([d is None for d in defect], dtype=bool)
 
         tails = []
@@ -163,14 +168,21 @@ class _Inspector:
                 defect[i] = "other_language"
         return defect
 
-    def counted(self, contexts: K.Contexts) -> Iterator[pa.RecordBatch]:
+    def count(self, contexts: K.Contexts) -> None:
         at = np.concatenate([found[0] for found in contexts.by_order.values()])
         h = np.concatenate([found[1] for found in contexts.by_order.values()])
         kind = contexts.kind[at]
         h, kind = h[kind >= 0], kind[kind >= 0]
         if len(h):
             code, names = pd.factorize(h)
-            sums = np.bincount(code * 4 + kind, minlength=4 * len(names)).reshape(-1, 4)
+            self.held.append((names, np.bincount(code * 4 + kind, minlength=4 * len(names)).reshape(-1, 4)))
+
+    def counts(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            code, names = pd.factorize(np.concatenate([h for h, _ in self.held]))
+            each = np.concatenate([n for _, n in self.held])
+            sums = np.stack([np.bincount(code, weights=each[:, k], minlength=len(names)) for k in range(4)], axis=1).astype(np.int64)
+            self.held.clear()
             one = np.array([len(names)])
             yield _rows(1, kind=_kinds(1, 1), hs=_lists(names, one), xs=_lists(sums[:, 0] << 32 | sums[:, 1], one), ys=_lists(sums[:, 2] << 32 | sums[:, 3], one))
 
