@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.mixing import mix, shares
 from cadenza.llm.tokens import count_tokens
+from cadenza.session import cut_lineage
 from cadenza.sources.tables import table
 
 
@@ -17,8 +18,9 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     reposting a text does not give it a larger part of the mix.
     """
     documents = table(spark, folder, "documents").select("doc_id", "source", "text")
-    sized = documents.select("doc_id", "source", count_tokens("text").alias("n_tokens"), F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    posted = documents.groupBy("source", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.count(F.lit(1)).alias("posts"))
+    # Texts are read once; what follows works on their sizes and hashes.
+    sized = cut_lineage(documents.select("doc_id", "source", count_tokens("text").alias("n_tokens"), F.xxhash64("text").alias("h"), F.length("text").alias("n")))
+    posted = sized.groupBy("source", "h", "n").agg(F.count(F.lit(1)).alias("posts"))
     weighted = sized.join(posted, ["source", "h", "n"])
     out = mix(weighted, table(spark, folder, "mix_target"), "doc_id", "source", "n_tokens", 1 / F.col("posts"))
     return out.withColumnRenamed("size", "n_tokens")

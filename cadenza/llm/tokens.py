@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,9 +16,6 @@ FOLDER = os.environ.get("CADENZA_TOKENIZERS", "/opt/tokenizers")
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the byte-level vocabularies split text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts are encoded in pieces of so many characters cut at a line or space, since the time of one call
-#: grows faster than its text where nothing separates words.
-PIECE = 20_000
 
 _encoders: dict[str, Callable[[str], list[int]]] = {}
 
@@ -46,23 +43,12 @@ def encoder(name: str = DEFAULT, folder: str = FOLDER) -> Callable[[str], list[i
     return _encoders[path]
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """text in pieces of at most ``size`` characters, cut before white space where there is any."""
-    at = 0
-    while len(text) - at > size:
-        cut = max(text.rfind(" ", at + 1, at + size), text.rfind("\n", at + 1, at + size))
-        cut = cut if cut > at else at + size
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def count_tokens(text: Column | str, name: str = DEFAULT, folder: str = FOLDER) -> Column:
     """Tokens of each text, whole; 0 for NULL and empty texts."""
 
     def count(texts: pd.Series) -> pd.Series:
         encode = encoder(name, folder)
-        return texts.map(lambda t: sum(len(encode(p)) for p in pieces(t)) if t else 0).astype("int64")
+        return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
 
     from pyspark.sql import types as T
 
