@@ -15,8 +15,11 @@ Item = tuple[str, int, int]  # type, start, end
 _PLAIN = {0xFF01 + i: chr(0x21 + i) for i in range(94)} | dict.fromkeys([0x3000, 0xA0, 0x2007, 0x202F, 0x2009], " ") | dict.fromkeys([0x2010, 0x2011, 0x2012, 0x2013], "-")
 
 
+_NOT_PLAIN = re.compile("[\uff01-\uff5e\u3000\xa0\u2007\u202f\u2009\u2010-\u2013]")
+
+
 def normalized(text: str) -> str:
-    return text if text.isascii() else text.translate(_PLAIN)
+    return text if text.isascii() else _NOT_PLAIN.sub(lambda m: _PLAIN[ord(m[0])], text)
 
 
 # --- email -----------------------------------------------------------------------------------------
@@ -27,13 +30,15 @@ _WORD_AT = re.compile(r"\s+at\s+", re.I)
 
 
 def emails(low: str) -> Iterator[Item]:
-    if not has_any(low, ("@", "艾特", "(at", "[at", "{at", "( at", "[ at")) and not (" at " in low and "dot" in low):
-        return
-    for m in _EMAIL.finditer(low):
-        # "name at place.com" is ordinary prose unless the dots are spelled out as well.
+    at = 0
+    while m := _EMAIL.search(low, at):
+        # "name at place.com" is ordinary prose unless the dots are spelled out as well; what comes after the
+        # word may be the address itself.
         if _WORD_AT.fullmatch(m[2]) and "." in m[3]:
+            at = m.end(2)
             continue
         yield "email", m.start(), m.end()
+        at = m.end()
 
 
 def lowered(t: str) -> str:
@@ -43,13 +48,6 @@ def lowered(t: str) -> str:
     return low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
 
 
-def has_any(low: str, words: tuple[str, ...]) -> bool:
-    for w in words:  # a generator costs more than the search itself
-        if w in low:
-            return True
-    return False
-
-
 _CLUSTER = re.compile(r"\d[\d ().+/-]{4,}\d")
 
 
@@ -82,6 +80,8 @@ _NINO = re.compile(rf"{_START}[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D](?![A-
 _PASSPORT = re.compile(rf"{_START}[A-Z]{{2}} ?\d{{7}}{_END}", re.I)
 _ANY_PASSPORT = re.compile(r"(?:passport|passeport|pasaporte|reisepass|ausweis|护照)\w*[\s:.]*(?:n[o°ºr]?\.?|number|号码?|是|为|:)?[\s:.]*([A-Z]{0,2} ?\d{6,9}[A-Z]?)(?![A-Za-z0-9])", re.I)
 _CHINA = re.compile(r"(?<![A-Za-z0-9_.-])(\d{6}) ?((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01]) ?(\d{3})([\dXx])(?![A-Za-z0-9])")
+_CPF = re.compile(rf"{_START}\d{{3}}\.\d{{3}}\.\d{{3}}-\d{{2}}{_END}")
+_ID_CARD = re.compile(r"\b(?:id|identity) (?:card|number|no\.?)[\s:#]*(?:is )?(\d{6,14})(?![A-Za-z0-9])", re.I)
 _DNI = re.compile(rf"{_START}([XYZ]?\d{{7,8}})[- ]?([A-Z]){_END}", re.I)
 _STEUER = re.compile(rf"{_START}\d{{2}} ?\d{{3}} ?\d{{3}} ?\d{{3}}{_END}")
 _SECU = re.compile(rf"{_START}\d ?\d{{2}} ?\d{{2}} ?\d{{2}} ?\d{{3}} ?\d{{3}}(?: ?\d{{2}})?{_END}")
@@ -103,6 +103,24 @@ def dni_letter(number: str) -> str:
     return _DNI_LETTERS[int({"X": "0", "Y": "1", "Z": "2"}.get(n[0], n[0]) + n[1:]) % 23]
 
 
+def cpf_checks(first9: str) -> str:
+    """The two check digits of a Brazilian tax number."""
+    digits = [int(c) for c in first9]
+    for _ in range(2):
+        rest = sum(d * w for d, w in zip(digits, range(len(digits) + 1, 1, -1), strict=True)) * 10 % 11
+        digits.append(rest % 10)
+    return "".join(map(str, digits[9:]))
+
+
+def steuer_check(first10: str) -> str:
+    """The check digit of a German tax number (ISO 7064, modulo 11, 10)."""
+    product = 10
+    for c in first10:
+        total = (int(c) + product) % 10 or 10
+        product = total * 2 % 11
+    return str((11 - product) % 10)
+
+
 def _spared(t: str, at: int) -> bool:
     """A word in front says that the number is a ticket, a batch or the like."""
     before = t[max(0, at - 24) : at]
@@ -130,6 +148,12 @@ def identity_numbers(t: str, windows: list[tuple[int, int]]) -> Iterator[Item]:
             yield kind, m.start(), m.end()
     for m in _ANY_PASSPORT.finditer(t):
         yield kind, m.start(1), m.end(1)
+    for m in _ID_CARD.finditer(t):
+        yield kind, m.start(1), m.end(1)
+    for m in within(_CPF, t, windows):
+        digits = re.sub(r"\D", "", m[0])
+        if cpf_checks(digits[:9]) == digits[9:]:
+            yield kind, m.start(), m.end()
     for m in within(_DNI, t, windows):
         if dni_letter(m[1]) == m[2].upper() and (_DNI_WORD.search(t[max(0, m.start() - 16) : m.start()]) or m[2].isupper() and len(m[1]) == 8 and not _spared(t, m.start())):
             yield kind, m.start(), m.end()
@@ -157,7 +181,8 @@ _PHONES = [
     # China: mobile and landline
     re.compile(rf"{_START}1[3-9]\d[ -]?\d{{4}}[ -]?\d{{4}}{_END}"),
     re.compile(rf"{_START}(?:\(0\d{{2,3}}\) ?|0\d{{2,3}}-)\d{{7,8}}{_END}"),
-    # Britain, Germany, France, Spain, as dialled at home
+    # The Netherlands, Britain, Germany, France, Spain, as dialled at home
+    re.compile(rf"{_START}06[ -]\d{{8}}{_END}"),
     re.compile(rf"{_START}(?:0[27]\d(?: ?\d{{4}} ?\d{{4}})|07\d{{3}} ?\d{{3}} ?\d{{3}}|0\d{{3,4}} \d{{3}} ?\d{{3,4}}){_END}"),
     re.compile(rf"{_START}(?:\(0\d{{2,4}}\) ?|0\d{{2,4}}[ /-])\d{{3,8}}(?:[ -]\d{{2,4}})?{_END}"),
     re.compile(rf"{_START}0[1-9](?:([ .-])\d{{2}})(?:\1\d{{2}}){{3}}{_END}"),
@@ -171,7 +196,7 @@ _SPOKEN_WORDS = tuple(_DIGIT_WORD[3:-1].split("|"))
 _SPOKEN_ZH = re.compile(r"[零〇一二三四五六七八九幺]{7,12}")
 
 
-def phones(t: str, low: str, windows: list[tuple[int, int]]) -> Iterator[Item]:
+def phones(t: str, low: str, windows: list[tuple[int, int]], spoken: bool) -> Iterator[Item]:
     for p in _PHONES:
         for m in within(p, t, windows):
             if not _spared(t, m.start()):
@@ -179,7 +204,7 @@ def phones(t: str, low: str, windows: list[tuple[int, int]]) -> Iterator[Item]:
     for m in within(_BARE, t, windows):
         if _PHONE_WORD.search(t[max(0, m.start() - 28) : m.start()].rsplit("\n", 1)[-1]) and not _spared(t, m.start()):
             yield "phone", m.start(), m.end()
-    if sum(low.count(w) for w in _SPOKEN_WORDS) >= 7:
+    if spoken:
         for m in _SPOKEN.finditer(low):
             yield "phone", m.start(), m.end()
     if not t.isascii():
@@ -209,6 +234,8 @@ _FR = re.compile(
 _ES_KIND = r"(?:Avenida|Avda\.?|Av\.|Calle|C/|Paseo|Plaza|Pza\.?|Camino|Carretera|Ronda|Travesía|Callejón|Cuesta|Glorieta|Rambla)"
 _ES = re.compile(rf"(?<!\w){_ES_KIND} ?(?:(?:de|del|la|las|los|el|y) )*[A-ZÁÉÍÓÚÑ][\wáéíóúñÁÉÍÓÚÑ]+(?: (?:(?:de|del|la|las|los|el|y) )*[A-ZÁÉÍÓÚÑ][\wáéíóúñÁÉÍÓÚÑ]+)*,? (?:n\.? ?º ?|nº ?|núm\.? ?)?\d{{1,4}}(?!\d)(?:, \d+\.?[ºª]\.?(?: [A-Z](?!\w))?)?(?:, \d{{5}} [A-ZÁÉÍÓÚÑ][\wáéíóúñ]+)?")
 _ES_ANY_CASE = re.compile(r"(?<!\w)(?:avenida|calle|c/|paseo|plaza|camino|ronda) ?(?:(?:de|del) (?:(?:la|las|los|el) )?)?[a-záéíóúñ]+(?: [a-záéíóúñ]+){0,2},? (?:n\.? ?º ?|nº ?|núm\.? ?)?\d{1,4}(?!\d)(?:, \d{5} [A-ZÁÉÍÓÚÑ]\w+)?", re.I)
+_IT = re.compile(r"(?<!\w)(?:Via|Viale|Piazza|Piazzale|Corso|Largo|Vicolo|Strada) (?:(?:del|della|dei|delle|degli|di|da|dell['’]) ?)?[A-ZÀ-Ý][\wà-ÿ'’]+(?: [A-ZÀ-Ý][\wà-ÿ'’]+)*,? (?:n\.? ?)?\d{1,4}(?:/?[a-zA-Z])?(?![\w.])(?:, (?:\d{5} )?[A-ZÀ-Ý][\wà-ÿ]+)?")
+_IT_WORDS = ("via ", "viale ", "piazza", "corso ", "largo ", "vicolo ", "strada ")
 _ES_MUST = re.compile(r"(?:avenida|calle|c/|paseo|plaza|camino|ronda) ?(?:de|del) |calle |c/", re.I)
 #: Chinese characters that lead up to an address rather than begin its name.
 _LEAD = "从到在住寄送往至了去于是写我们他她你的让把和与家址给向就号请"
@@ -225,7 +252,7 @@ _FR_WORDS = ("rue ", "avenue ", "av. ", "quai ", "impasse ", "boulevard ", "bd "
 _ES_WORDS = ("avenida", "avda", "av.", "calle", "c/", "paseo", "plaza", "pza", "camino", "carretera", "ronda", "travesía", "callejón", "cuesta", "glorieta", "rambla")
 
 
-def addresses(t: str, low: str) -> Iterator[Item]:
+def addresses(t: str, low: str, gate: int) -> Iterator[Item]:
     kind = "street_address"
     if "号" in t:
         for m in _ZH.finditer(t):
@@ -235,13 +262,16 @@ def addresses(t: str, low: str) -> Iterator[Item]:
         if not _NO_STREET.search(street):
             flat = _EN_FLAT.search(low[max(0, m.start() - 18) : m.start()])
             yield kind, m.start() - (len(flat[0]) if flat else 0), _EN_REST.match(t, m.end()).end()
-    if has_any(low, _DE_WORDS):
+    if gate & GATE["it"]:
+        for m in _IT.finditer(t):
+            yield kind, m.start(), m.end()
+    if gate & GATE["de"]:
         for m in _DE.finditer(t):
             yield kind, m.start(), m.end()
-    if has_any(low, _FR_WORDS):
+    if gate & GATE["fr"]:
         for m in _FR.finditer(t):
             yield kind, m.start(), m.end()
-    if has_any(low, _ES_WORDS):
+    if gate & GATE["es"]:
         for m in _ES.finditer(t):
             yield kind, m.start(), m.end()
         for m in _ES_ANY_CASE.finditer(t):
@@ -284,8 +314,29 @@ _AFTER = re.compile(
     r"^(?:\s*[,;:.!?()<\[\]\n—]|\s*$|\s+(?:and|at|on|put|will|can|said|says|came|walked|walks|lives|wrote|has|had|is|was|disagree|watched|<|\(|\d|\+"
     r"|herein|wohnt|und|kam|hat|ist|Tel|est|et|habite|au|a|al|y|vive|entró|ha|dijo|llamó|[A-Z]{2} ?\d))"
 )
-#: The words that announce, without the marks around them: one of them must be in a text for its pattern.
-_LEADS = [tuple(dict.fromkeys(w.strip() for w in re.split(r"\||\\b|\\s|[()?:+*]|\[[^]]*\]|\.\{.*?\}", lead) if len(w.strip()) > 1)) for lead, _, _ in _CONTEXTS]
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern's first group."""
+    out, depth, start = [], 0, pattern.index("(?:") + 3
+    for i in range(start, len(pattern)):
+        c = pattern[i]
+        if depth == 0 and c in "|)":
+            out.append(pattern[start:i])
+            start = i + 1
+            if c == ")":
+                break
+        depth += (c == "(") - (c == ")")
+    return out
+
+
+def _longest_literal(pattern: str) -> str:
+    """The longest stretch of a pattern that stands for itself."""
+    return max(re.split(r"\\[bs]|\(\?:[^)]*\)|\[[^]]*\]|\.\{.*?\}|[()?*+]", pattern), key=len).strip()
+
+
+#: A word of each phrase that announces: one of them must be in a text for its pattern.
+_LEADS = [tuple(dict.fromkeys(map(_longest_literal, _alternatives(lead)))) for lead, _, _ in _CONTEXTS]
 _BEFORE_CONTEXTS = [(re.compile(rf"(?P<lead>{lead})(?P<name>{_ANY if lost else _FULL})(?P<after>{after or ''})", re.M), after is None) for lead, after, lost in _CONTEXTS]
 _VERBS = r"(?:lives at|said the|said that|said|came home|walked in|watched the|will ring|can be reached|wrote|wohnt|habite|vive en|est entré|entró|kam herein|put it|joined|left the room|disagree)"
 _VERB_WORDS = (*_VERBS[3:-1].split("|"), "said", "lives", "came", "walked", "are both")
@@ -323,25 +374,28 @@ def _trimmed(name: str, start: int) -> tuple[int, int] | None:
     return start + words[0].start(), start + words[-1].end()
 
 
-_TITLE_WORDS = ("Mr", "Ms", "Mx", "Miss", "Dr", "Prof", "Doctor", "Sir", "Mad", "Herr", "Frau", "Frä", "Mme", "Mlle", "Mons", "M. ", "eñor", "Sr", "Dña", "Don ", "Doña", "MR", "MS", "DR", "PROF", "HERR", "FRAU", "MME", "mr", "ms", "dr", "prof", "frau", "herr", "mme")
+#: A title in lower case and what follows it: without one there is no titled name.
+_ANY_TITLE = re.compile(r"\b(?:mr|mrs|ms|miss|mx|dr|prof|professor|doctor|sir|madam|herrn?|frau|fräulein|mme|mlle|madame|monsieur|señora?|señorita|sra?|srta|dña|don|doña|m\.)\.? ")
 
 
-def titled_names(t: str) -> Iterator[Item]:
+def titled_names(t: str, low: str) -> Iterator[Item]:
+    if not _ANY_TITLE.search(low):
+        return
     for p in (_TITLE, _MONSIEUR, _GENDERED):
-        for m in p.finditer(t) if has_any(t, _TITLE_WORDS) else ():
+        for m in p.finditer(t):
             yield "person_name", m.start("name"), m.end("name")
 
 
-def latin_names(t: str) -> Iterator[Item]:
+def latin_names(t: str, gate: int) -> Iterator[Item]:
     kind = "person_name"
-    for (p, needs_after), leads in zip(_BEFORE_CONTEXTS, _LEADS, strict=True):
-        for m in p.finditer(t) if has_any(t, leads) else ():
+    for i, (p, needs_after) in enumerate(_BEFORE_CONTEXTS):
+        for m in p.finditer(t) if gate & GATE[f"lead{i}"] else ():
             if needs_after and not _AFTER.match(t[m.end("name") :][:24]):
                 continue
             if at := _trimmed(m["name"], m.start("name")):
                 yield kind, *at
-    for p, words in ((_VERB_AFTER, _VERB_WORDS), (_VERB_LOWER, _VERB_WORDS), (_CLOSING, _CLOSING_WORDS), (_COUPLED, _COUPLED_WORDS)):
-        for m in p.finditer(t) if has_any(t, words) else ():
+    for p, name in ((_VERB_AFTER, "verb"), (_VERB_LOWER, "verb"), (_CLOSING, "closing"), (_COUPLED, "coupled")):
+        for m in p.finditer(t) if gate & GATE[name] else ():
             if at := _trimmed(m["name"], m.start("name")):
                 yield kind, *at
 
@@ -377,16 +431,106 @@ _ZH_WORDS = (
 )
 
 
-def chinese_names(t: str) -> Iterator[Item]:
+#: What follows a greeting or thanks and is nobody's name.
+_ZH_SAID = frozenset("再见 拜拜 大家 各位 你们 我们 他们 老师 辛苦了 不客气 没事 好的 明白 知道了 配合 支持 合作 帮助".split())
+
+
+def chinese_names(t: str, gate: int) -> Iterator[Item]:
     if t.isascii():
         return
-    for p, words in zip(_ZH_NAMES, _ZH_WORDS, strict=True):
-        for m in p.finditer(t) if has_any(t, words) else ():
-            yield "person_name", m.start("name"), m.end("name")
+    for i, p in enumerate(_ZH_NAMES):
+        for m in p.finditer(t) if gate & GATE[f"zh{i}"] else ():
+            if m["name"] not in _ZH_SAID:
+                yield "person_name", m.start("name"), m.end("name")
     for m in re.finditer(rf"(?:^|[\n。！？!?\s:：])(?P<name>{_ZH_PERSON})(?=[,，] ?(?:\+|\(|0|1))", t):
         yield "person_name", m.start("name"), m.end("name")
 
 
+# --- which patterns a text can match at all --------------------------------------------------------
+_GATED = {
+    "email": ("@", "艾特", "(at", "[at", "{at", "( at", "[ at"), "at": (" at ",), "dot": ("dot",), "de": _DE_WORDS, "fr": _FR_WORDS, "es": _ES_WORDS, "it": _IT_WORDS,
+    "verb": _VERB_WORDS, "closing": _CLOSING_WORDS, "coupled": _COUPLED_WORDS,
+    **{f"lead{i}": words for i, words in enumerate(_LEADS)}, **{f"zh{i}": words for i, words in enumerate(_ZH_WORDS)},
+}
+GATE = {name: 1 << i for i, name in enumerate(_GATED)}
+_WORD_GATES: dict[str, tuple[int, int]] = {}
+for _name, _words in _GATED.items():
+    for _w in _words:
+        _WORD_GATES[_w.lower()] = (_WORD_GATES.get(_w.lower(), (0, 0))[0] | GATE[_name], 0)
+for _w in _SPOKEN_WORDS:
+    _WORD_GATES[_w] = (_WORD_GATES.get(_w, (0, 0))[0], 1)
+
+
+def _automaton() -> object | None:
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    made = ahocorasick.Automaton()
+    for word, value in _WORD_GATES.items():
+        made.add_word(word, value)
+    made.make_automaton()
+    return made
+
+
+_AUTOMATON = _automaton()
+
+
+def gates(low: str) -> tuple[int, bool]:
+    """(the gates of all words in a text in lower case, whether it may hold a spoken number): one pass over it."""
+    if _AUTOMATON is None:
+        found = [v for w, v in _WORD_GATES.items() if w in low]
+        return sum({1 << i for g, _ in found for i in range(len(GATE)) if g >> i & 1}), sum(low.count(w) for w in _SPOKEN_WORDS) >= 7
+    gate, digits = 0, 0
+    for _, (g, d) in _AUTOMATON.iter(low):
+        gate |= g
+        digits += d
+    return gate, digits >= 7
+
+
+# --- names told by what other texts call persons ---------------------------------------------------
+#: The most frequent family names in Chinese.
+FREQUENT_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+_ZH_DOES = "说|进来|走进|来了|来过|打来|取走"
+_ZH_CALLED = re.compile(
+    rf"(?:(?:^|[\n\s:：。，,！!？?])(?P<bare>(?:{_ZH_DOUBLE}){_ZH_CHAR}{{1,2}}|{_ZH_CHAR}{{2,3}})(?={_ZH_DOES})"
+    rf"|(?:刚才|请?联系|请找|交给|转交|通知|遇到)(?P<led>(?:{_ZH_DOUBLE}){_ZH_CHAR}{{1,2}}|{_ZH_CHAR}{{2,3}})(?={_ZH_DOES}|[,，。;；!！\s]|$))",
+    re.M,
+)
+_RUN = re.compile(rf"(?<![\w.'’-]){_TOKEN}(?: {_INITIAL})*(?: {_TOKEN})(?: {_TOKEN})?(?![\w-])")
+_SMALL = re.compile(rf"(?:^|[.!?:—–,\n] ?|(?:Thanks|Gruß|Merci|Gracias|Luego entró|Puis|Then), ?|(?:Luego entró|Puis|Then) )(?P<name>[{_L}][{_L}'’-]{{2,}}(?: [{_L}]\.)? [{_L}][{_L}'’-]{{2,}})(?![\w-])", re.M)
+
+
+def name_key(name: str) -> str | None:
+    """What a name is known by: the given name of a Latin one, the family name of a Chinese one."""
+    if re.match(_ZH_CHAR, name):
+        return "z:" + (m[0] if (m := re.match(_ZH_DOUBLE, name)) else name[0])
+    family, comma, given = name.partition(",")
+    words = (given if comma else name).split()
+    first = words[0].casefold().rstrip(".") if words and (comma or len(words) > 1) else ""
+    return "g:" + first if len(first) > 2 else None
+
+
+def may_be_names(text: str, items: list[Item]) -> list[tuple[str, int, int]]:
+    """(key, start, end) of what could be the name of a person if other texts call persons so, apart from ``items``."""
+    t = normalized(text)
+    marks = bytearray(len(t))
+    for _, start, end in items:
+        marks[start:end] = b"\x01" * (end - start)
+    out = []
+    for p in (_RUN, _SMALL) if t.isascii() or re.search(f"[{_U}{_L}]", t) else ():
+        for m in p.finditer(t):
+            start, end = m.span("name") if p is _SMALL else m.span()
+            if not any(marks[start:end]) and (key := name_key(t[start:end])) and (at := _trimmed(t[start:end], start)):
+                out.append((key, *at))
+    if not t.isascii():
+        for m in _ZH_CALLED.finditer(t):
+            start, end = m.span("bare" if m["bare"] else "led")
+            if not any(marks[start:end]) and t[start] != t[start + 1]:
+                out.append((name_key(t[start:end]), start, end))
+    return out
+
+
 def find(text: str) -> list[Item]:
     """All items of a text, in order of place, none of them overlapping."""
     t = normalized(text)
@@ -400,14 +544,16 @@ def find(text: str) -> list[Item]:
                 taken.append(item)
 
     low = lowered(t)
+    gate, spoken = gates(low)
     windows = number_windows(t)
-    claim(emails(low))
+    if gate & GATE["email"] or gate & GATE["at"] and gate & GATE["dot"]:
+        claim(emails(low))
     if windows:
         claim(identity_numbers(t, windows))
-    claim(phones(t, low, windows))
-    claim(addresses(t, low))
-    claim(titled_names(t))
-    claim(latin_names(t))
+    claim(phones(t, low, windows, spoken))
+    claim(addresses(t, low, gate))
+    claim(titled_names(t, low))
+    claim(latin_names(t, gate))
     claim(names_before(t, list(taken)))
-    claim(chinese_names(t))
+    claim(chinese_names(t, gate))
     return sorted(taken, key=lambda x: x[1])

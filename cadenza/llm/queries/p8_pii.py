@@ -10,9 +10,7 @@ from cadenza.sources.tables import table
 
 
 def _redacted(spark: SparkSession, folder: str) -> DataFrame:
-    # A few files hold many texts: more, smaller tasks before the work on the texts starts.
-    documents = table(spark, folder, "documents").select("doc_id", "text").repartition("doc_id")
-    return redact_documents(documents, "doc_id", "text")
+    return redact_documents(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
