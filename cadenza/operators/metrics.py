@@ -13,7 +13,7 @@ from cadenza.sources.tables import once
 
 COLUMNS = [
     "model_name", "sample_id", "slot_id", "scene_type", "question_type", "is_interrupted", "num_chunks", "num_early", "num_core",
-    "score_ack", "score_core", "tp_n", "fp_delta", "fn_delta", "spill", "spill_seconds", "actual_text", "diag_status", "partial_quality",
+    "score_ack", "score_core", "tp_n", "fp_delta", "fn_delta", "spill", "spill_seconds", "max_chunk_end", "actual_text", "diag_status", "partial_quality",
 ]
 
 
@@ -24,10 +24,19 @@ def evaluated(spark: SparkSession, folder: str) -> DataFrame:
         rows.withColumn("scene_type", clean_label("scene_type"))
         .withColumn("question_type", clean_label("question_type", "unknown"))
         .withColumn("fn", F.when(F.col("is_interrupted"), 0).otherwise((F.coalesce("score_core", F.lit(0.0)) <= 0).cast("int")))
-        .withColumn("role", F.when(F.col("scene_type") == "nested", F.when(F.col("slot_id") % 2 == 1, "outer").otherwise("inner")).otherwise("none"))
+        .withColumn("role", F.coalesce(nested_role(F.col("scene_type"), F.lit(None), F.col("question_type"), F.col("slot_id")), F.lit("none")))
     )
 
 
+def nested_role(scene: Column, role: Column, question_type: Column, slot_id: Column) -> Column:
+    """outer or inner for slots of nested scenes: as stated, else by the type of the question, else by an odd or
+    even number, else unknown. NULL for other scenes."""
+    stated = clean_label(role.cast("string"))
+    kind = clean_label(question_type)
+    inferred = F.when(stated.isin("outer", "inner"), stated).when(kind == "proactive", "outer").when(kind == "realtime", "inner").when(slot_id % 2 == 1, "outer").when(slot_id % 2 == 0, "inner").otherwise("unknown")
+    return F.when(scene == "nested", inferred)
+
+
 def soft_sums() -> list[Column]:
     return [
         F.sum("tp_n").alias("tp"),
@@ -110,19 +119,30 @@ def interruptions(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def interruption_labels(rows: DataFrame, near: float = 1.0, short: int = 12) -> DataFrame:
-    """How each interrupted slot ended: the first label of the chain that fits."""
+def interruption_labels(rows: DataFrame, slots: DataFrame, bounds: DataFrame, near: float = 0.5, short_seconds: float = 2.0, short_chars: int = 20) -> DataFrame:
+    """How each interrupted slot ended: the first label of the chain that fits.
+
+    ``slots`` has the end of each slot (sample_id, slot_id, slot_end), ``bounds`` when a model began and ended
+    to speak in it (model_name, sample_id, slot_id, response_start, response_end); without such a row only the
+    end is known, from max_chunk_end. Words past the end overflow; output is short by its letters or by its
+    seconds, and stopped near the interruption if it ended ``near`` seconds before the slot's end or later.
+    """
+    cut = rows.filter("is_interrupted").withColumn("has_output", has_output(rows)).join(slots.select("sample_id", "slot_id", "slot_end"), ["sample_id", "slot_id"], "left").join(bounds, ["model_name", "sample_id", "slot_id"], "left")
     late = F.coalesce(F.nanvl("spill_seconds", F.lit(0.0)), F.lit(0.0))
     chars = F.length(F.regexp_replace(F.coalesce("actual_text", F.lit("")), r"(?U)^\s+|\s+$", ""))
+    end = F.coalesce("response_end", "max_chunk_end")
+    seconds = F.greatest(F.lit(0.0), end - F.col("response_start"))
+    is_short = F.coalesce(F.col("has_output") & ((chars <= short_chars) | F.coalesce(seconds <= short_seconds, F.lit(False))), F.lit(False))
+    is_near = F.coalesce(F.col("has_output") & (F.coalesce("slot_end", F.lit(0.0)) - end <= near), F.lit(False))
     label = (
-        F.when(late > near, "overflow")
-        .when(~has_output(rows), "no_output")
-        .when((late > 0) & (chars <= short), "short_near_interrupt")
-        .when(late > 0, "stopped_near_interrupt")
-        .when(chars <= short, "short_finished_before_interrupt")
+        F.when(late > 0, "overflow")
+        .when(~F.col("has_output"), "no_output")
+        .when(is_near & is_short, "short_near_interrupt")
+        .when(is_near, "stopped_near_interrupt")
+        .when(is_short, "short_finished_before_interrupt")
         .otherwise("finished_before_interrupt")
     )
-    return rows.filter("is_interrupted").select("model_name", "sample_id", "slot_id", label.alias("label"))
+    return cut.select("model_name", "sample_id", "slot_id", label.alias("label"))
 
 
 def spill_statistics(rows: DataFrame) -> DataFrame:
@@ -145,19 +165,49 @@ def spill_breakdown(rows: DataFrame) -> DataFrame:
     return out.withColumn("over_rate", F.round(safe_ratio("n_over", "n"), 6)).withColumn("over_fine_rate", F.round(safe_ratio("n_over_fine", "n_over"), 6)).withColumn("within_fine_rate", F.round(safe_ratio("n_within_fine", "n_within"), 6))
 
 
-def nested_completion(rows: DataFrame) -> DataFrame:
-    """Pairs of outer and inner question: the geometric mean of their scores if both were met, else 0."""
-    pair = F.floor((F.col("slot_id") + 1) / 2)
-    first = lambda role: F.min_by(F.when(F.col("role") == role, F.coalesce("score_core", F.lit(0.0))), F.when(F.col("role") == role, F.col("slot_id")))
-    pairs = rows.filter("scene_type = 'nested'").groupBy("model_name", "sample_id", pair.alias("pair")).agg(first("outer").alias("q1"), first("inner").alias("q2"))
-    score = F.when((F.col("q1") > 0) & (F.col("q2") > 0), F.sqrt(F.col("q1") * F.col("q2"))).otherwise(F.lit(0.0))
-    return pairs.groupBy("model_name").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count_if(F.col("q1").isNull() | F.col("q2").isNull()).alias("n_missing"),
-        F.count_if(F.col("q1") <= 0).alias("n_outer_missed"),
-        F.count_if(F.col("q2") <= 0).alias("n_inner_missed"),
-        F.round(safe_ratio(F.sum(score), F.count(F.lit(1))), 6).alias("completion"),
-    )
+def core_start_time(*precedence: str) -> Column:
+    """The first known of the times at which an answer is taken to begin."""
+    return F.coalesce(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in precedence])
+
+
+def nested_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of outer and inner question per model and sample, from rows with scene_type, nested_role,
+    question_type, step_index, slot_start, slot_id, score_core and core_start.
+
+    A pair is a step, or two slot numbers that follow each other; of several outer or inner questions the first
+    in time counts. A pair is completed if both were answered and the inner one no later than the outer one;
+    a time that is not known is no reason against it. Aggregates only: no pair of rows is formed.
+    """
+    role = nested_role(F.col("scene_type"), F.col("nested_role"), F.col("question_type"), F.col("slot_id"))
+    pair = F.coalesce(F.concat(F.lit("step_"), F.col("step_index").cast("string")), F.concat(F.lit("slot_pair_"), F.floor((F.col("slot_id") + 1) / 2).cast("string")), F.format_string("time_pair_%.3f", F.coalesce("slot_start", F.lit(0.0))))
+    kept = rows.withColumn("role", role).filter(F.col("role").isin("outer", "inner")).withColumn("pair", pair)
+    order = F.struct(F.coalesce("slot_start", F.lit(0.0)), F.coalesce("slot_id", F.lit(1_000_000_000)))
+    value = F.struct(F.greatest(F.lit(0.0), F.coalesce(F.nanvl("score_core", F.lit(0.0)), F.lit(0.0))).alias("score"), F.col("core_start").alias("at"))
+    first = lambda r: F.min_by(F.when(F.col("role") == r, value), F.when(F.col("role") == r, order))
+    pairs = kept.groupBy("model_name", "sample_id", "pair").agg(first("outer").alias("o"), first("inner").alias("i"))
+    whole = F.col("o").isNotNull() & F.col("i").isNotNull()
+    q1, q2 = F.col("o.score"), F.col("i.score")
+    both = whole & (q1 > 0) & (q2 > 0)
+    in_order = F.coalesce(F.col("i.at") <= F.col("o.at"), F.lit(True))
+    return pairs.select(
+        "model_name", "sample_id", "pair",
+        (~whole).alias("is_missing"),
+        (whole & (q1 <= 0)).alias("outer_missed"),
+        (whole & (q2 <= 0)).alias("inner_missed"),
+        (both & ~in_order).alias("order_error"),
+        F.when(both & in_order, F.sqrt(q1 * q2)).otherwise(F.lit(0.0)).alias("score"),
+    )
+
+
+def nested_completion(pairs: DataFrame) -> DataFrame:
+    """Per model the mean over ``nested_pairs``, and why pairs were not completed."""
+    n = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
+    return pairs.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_pairs"), n("is_missing"), n("outer_missed"), n("inner_missed"), n("order_error"), F.count_if(F.col("score") > 0).alias("n_success"), F.round(safe_ratio(F.sum("score"), F.count(F.lit(1))), 6).alias("completion"))
+
+
+def is_math(*paths: Column) -> Column:
+    """Whether one of a sample's paths lies in the folder of the mathematical samples."""
+    return F.exists(F.array(*[F.coalesce(p, F.lit("")) for p in paths]), lambda p: p.contains("/1q1a_math/") | p.contains("\\1q1a_math\\"))
 
 
 def by_subtraction(rows: DataFrame, clamped: bool) -> DataFrame:

@@ -192,37 +192,79 @@ def asof_backward(events: DataFrame, states: DataFrame, key: str, value: str) ->
     return left.unionByName(right).withColumn(value, F.last(value, ignorenulls=True).over(order)).filter("side = 1").select(key, "event_id", "t", value)
 
 
-def stage_scores(phased: DataFrame, slots: DataFrame, models: DataFrame, verdict: Column, w_ack: float = 0.2, threshold: float = 0.5) -> DataFrame:
+def stage_scores(phased: DataFrame, slots: DataFrame, verdicts: DataFrame, w_ack: float = 0.2, threshold: float = 0.5) -> DataFrame:
     """Credit for content and timeliness per model and slot.
 
-    The early part is worth w_ack by how soon after the slot's start it comes; the core part 1 - w_ack
-    by the verdict on its first chunk (``verdict``, a column of the chunks in 0 .. 1) and how soon after
-    t_a it starts. A core part below ``threshold`` is a false positive, one that is missing or worthless
-    a false negative, words past the end of a hard slot a false positive.
+    ``slots`` has a row per model and slot, with scene_type, step_index, is_interrupted, is_hard. ``verdicts``
+    (model_name, sample_id, slot_id) is what a judge said: category (hallucination or neutral) and s_ack of
+    the early part, s_core of the core part, and anchor, the time at which the answer proper begins if known.
+
+    The early part is worth w_ack by how soon after the slot's start it comes, nothing where it hallucinates,
+    which is a false positive; in a later step of one question it is worth nothing. The core part has the rest
+    of the weight, by the verdict and by how soon after t_a the answer begins. A core part below ``threshold``
+    is a false positive, one that is missing or worthless a false negative, words past the end of a hard slot
+    a false positive. Interrupted slots have no core part and miss nothing.
+
+    ``has_verdict`` is false where there is something to judge and no verdict.
     """
-    first = lambda phase, what: F.min_by(F.when(F.col("phase") == phase, what), F.when(F.col("phase") == phase, F.struct("chunk_start", "chunk_end", "chunk_id")))
-    spoken = phased.filter("slot_id IS NOT NULL").groupBy("model_name", "sample_id", "slot_id").agg(
+    key = ["model_name", "sample_id", "slot_id"]
+    spoken = phased.filter("slot_id IS NOT NULL").groupBy(*key).agg(
         F.min(F.when(F.col("phase") == "early", F.col("chunk_start"))).alias("first_early"),
         F.min(F.when(F.col("phase") == "core", F.col("chunk_start"))).alias("first_core"),
-        first("core", verdict).alias("s_core"),
         F.max("chunk_end").alias("last_end"),
     )
-    every = slots.join(F.broadcast(models), how="cross") if models is not None else slots
-    rows = every.join(spoken, ["model_name", "sample_id", "slot_id"], "left")
-    t_ack = F.coalesce(decay("first_early", "slot_start", "t_a"), F.lit(0.0))
-    t_core = F.coalesce(decay(F.greatest("first_core", "t_a"), "t_a", "slot_end"), F.lit(0.0))
-    good = F.coalesce(F.col("s_core") >= threshold, F.lit(False)) & ~F.col("is_interrupted")
-    rows = rows.withColumn("score_ack", t_ack * w_ack).withColumn("score_core", F.when(good, t_core * F.col("s_core") * (1 - w_ack)).otherwise(F.lit(0.0)))
-    low = F.coalesce((F.col("s_core") < threshold) & ~F.col("is_interrupted"), F.lit(False)).cast("int")
-    spill = F.coalesce((F.col("last_end") > F.col("slot_end")) & F.col("is_hard"), F.lit(False)).cast("int")
+    rows = slots.join(spoken, key, "left").join(verdicts.select(*key, "category", "s_ack", "s_core", "anchor"), key, "left")
+    later_step = (F.col("scene_type") == "1qna") & (F.coalesce("step_index", "slot_id", F.lit(1)) > 1)
+    rows = rows.withColumn("w_ack", F.when(F.coalesce(later_step, F.lit(False)), 0.0).otherwise(F.lit(w_ack)))
+    early, core = F.col("first_early").isNotNull(), F.col("first_core").isNotNull() & ~F.col("is_interrupted")
+    neutral = early & (F.col("category") == "neutral")
+    ack = F.when(neutral, decay("first_early", "slot_start", "t_a") * F.col("s_ack") * F.col("w_ack")).otherwise(F.lit(0.0))
+    begins = F.greatest(F.coalesce(F.when(F.col("s_core") > 0, F.col("anchor")), F.greatest("first_core", "t_a")), F.col("t_a"))
+    good = core & (F.col("s_core") >= threshold)
+    rows = rows.withColumn("score_ack", F.coalesce(ack, F.lit(0.0))).withColumn("begins", F.when(core, begins)).withColumn("score_core", F.coalesce(F.when(good, decay("begins", "t_a", "slot_end") * F.col("s_core") * (1 - F.col("w_ack"))), F.lit(0.0)))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return (
         rows.withColumn("tp", clamp(F.col("score_ack") + F.col("score_core")))
-        .withColumn("fp", low + spill)
+        .withColumn("fp", flag(early & (F.col("category") == "hallucination")) + flag(core & (F.col("s_core") < threshold)) + flag((F.col("last_end") > F.col("slot_end")) & F.col("is_hard")))
         .withColumn("fn", F.when(F.col("is_interrupted"), 0).otherwise((F.col("score_core") <= 0).cast("int")))
-        .select("model_name", "sample_id", "slot_id", "score_ack", "score_core", "tp", "fp", "fn")
+        .withColumn("has_verdict", ~((early & F.col("category").isNull()) | (core & F.col("s_core").isNull())))
+        .select(*key, "slot_start", "score_ack", "score_core", "begins", "tp", "fp", "fn", "has_verdict")
     )
 
 
+def until_failure(scored: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """Per model and sample the slots before the first without a verdict, in order of time: status (ok, failed),
+    failed_slot_id, n_slots, tp, fp, fn. Chunks in no slot are false positives of a run that is ok.
+
+    The place of the failure is a minimum, so a sample of any size needs no sorted pass in one task.
+    """
+    run = ["model_name", "sample_id"]
+    failed = scored.filter(~F.col("has_verdict")).groupBy(*run).agg(F.min(F.struct("slot_start", "slot_id")).alias("failed"))
+    known = scored.join(failed, run, "left").withColumn("counts", F.col("failed").isNull() | (F.struct("slot_start", "slot_id") < F.col("failed")))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("counts"), F.col(c))), F.lit(0))
+    sums = known.groupBy(*run).agg(F.first("failed").alias("failed"), F.count_if("counts").alias("n_slots"), F.round(total("tp"), 6).alias("tp"), total("fp").alias("fp"), total("fn").alias("fn"))
+    loose = unmatched.groupBy(*run).agg(F.count(F.lit(1)).alias("n_unmatched"))
+    out = sums.join(loose, run, "left").withColumn("n_unmatched", F.when(F.col("failed").isNull(), F.coalesce("n_unmatched", F.lit(0))).otherwise(F.lit(0)))
+    return out.select(*run, F.when(F.col("failed").isNull(), "ok").otherwise("failed").alias("status"), F.col("failed.slot_id").alias("failed_slot_id"), "n_slots", "tp", (F.col("fp") + F.col("n_unmatched")).cast("bigint").alias("fp"), F.col("fn").cast("bigint").alias("fn"))
+
+
+def full_context(stage: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The text around a stage of each slot: the whole texts of all chunks it has parts of, each once, in order
+    of time, joined without separator. Where none of them has a text, that of the parts themselves.
+
+    ``stage`` has model_name, sample_id, slot_id, chunk_id, text, part_start, part_end; ``chunks`` has
+    model_name, sample_id, chunk_id, chunk_start, chunk_end, text. A slot's text is the result, so its chunks
+    have to meet; slots are bounded by media time.
+    """
+    uid = ["model_name", "sample_id", "chunk_id"]
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    parts = stage.select(*uid, "slot_id", F.struct("part_start", "part_end", "chunk_id", trimmed("text").alias("text")).alias("part"))
+    whole = chunks.select(*uid, F.struct("chunk_start", "chunk_end", "chunk_id", trimmed("text").alias("text")).alias("whole"))
+    met = parts.join(whole, uid, "left").groupBy("model_name", "sample_id", "slot_id").agg(F.array_sort(F.collect_set("whole")).alias("w"), F.array_sort(F.collect_list("part")).alias("p"))
+    joined = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), "")
+    return met.select("model_name", "sample_id", "slot_id", trimmed(F.coalesce(F.nullif(joined("w"), F.lit("")), joined("p"))).alias("context"))
+
+
 def effective_boundary(interrupted: Column, boundary: Column) -> Column:
     """Hard for interrupted slots; otherwise Soft only if the boundary says so."""
     return F.when(interrupted, "Hard").when(clean_label(boundary) == "soft", "Soft").otherwise("Hard")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators import metrics as M
+from cadenza.operators import timeline as T
 from cadenza.plans import Query
 from cadenza.plans import timeline as TL
+from cadenza.sources.tables import once
 
 #: Models in the order in which reports list them; others follow by name.
 ORDER = ["quill_duplex", "merle_stream", "ostrea_omni_8b", "larkvoice_rt"]
@@ -46,7 +48,11 @@ def interruptions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def interruption_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return M.interruption_labels(_rows(spark, folder)).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label")
+    """Every interrupted slot with how it ended."""
+    slots = T.clean_slots(spark, folder)
+    spoken = TL._phased(spark, folder).filter("slot_id IS NOT NULL")
+    bounds = spoken.groupBy("model_name", "sample_id", "slot_id").agg(F.min("chunk_start").alias("response_start"), F.max("chunk_end").alias("response_end"))
+    return M.interruption_labels(_rows(spark, folder), slots, bounds)
 
 
 def spill_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,8 +63,33 @@ def spill_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return M.spill_breakdown(_rows(spark, folder))
 
 
+def _nested_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    slots = once(spark, folder, "slots", ["sample_id", "slot_id", "start", "end", "t_a", "nested_role", "step_index"]).select("sample_id", "slot_id", F.least("start", "end").alias("slot_start"), "t_a", "nested_role", "step_index")
+    core = TL._phased(spark, folder).filter("phase = 'core'").groupBy("model_name", "sample_id", "slot_id").agg(F.min("chunk_start").alias("first_core"))
+    rows = _rows(spark, folder).filter("scene_type = 'nested'").join(slots, ["sample_id", "slot_id"], "left").join(core, ["model_name", "sample_id", "slot_id"], "left")
+    effective = F.greatest("first_core", "t_a")
+    return M.nested_pairs(rows.withColumn("effective", F.when(F.col("first_core").isNotNull(), effective)).withColumn("core_start", M.core_start_time("effective", "first_core", "max_chunk_end")))
+
+
+def nested_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _nested_pairs(spark, folder).withColumn("score", F.round("score", 6))
+
+
+def f1_math_subset(spark: SparkSession, folder: str) -> DataFrame:
+    """The totals of the mathematical samples and of the rest, told apart by the paths of a sample."""
+    m = once(spark, folder, "sample_manifest", ["subset", "video", "annotation"])
+    path = lambda c: F.concat_ws("/", F.lit("data"), F.col("subset"), F.col(c))
+    marked = _rows(spark, folder).join(m.select("sample_id", M.is_math(path("video"), path("annotation")).alias("is_math")), "sample_id", "left")
+    return M.finalized(marked.withColumn("is_math", F.coalesce("is_math", F.lit(False))).groupBy("model_name", "is_math").agg(*M.soft_sums()), ["model_name", "is_math"])
+
+
+def f1_by_scene_sorted(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups in the order of their key, as reports list them."""
+    return M.finalized(_rows(spark, folder).groupBy("scene_type").agg(*M.soft_sums()), ["scene_type"]).orderBy("scene_type")
+
+
 def nested_completion(spark: SparkSession, folder: str) -> DataFrame:
-    return M.nested_completion(_rows(spark, folder))
+    return M.nested_completion(_nested_pairs(spark, folder))
 
 
 def paper_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,13 +134,13 @@ def judge_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (f1_totals, f1_with_unmatched, f1_groupings, f1_two_level, pure_scores, interruptions, interruption_labels, spill_statistics, spill_breakdown, nested_completion, paper_metrics, exclusive_classes, exclusive_f1, best_model, least_spill, flat_summary, cross_summary, ranked_models, judge_cache)
+    for f in (f1_totals, f1_with_unmatched, f1_groupings, f1_two_level, pure_scores, interruptions, interruption_labels, spill_statistics, spill_breakdown, nested_pairs, nested_completion, f1_math_subset, f1_by_scene_sorted, paper_metrics, exclusive_classes, exclusive_f1, best_model, least_spill, flat_summary, cross_summary, ranked_models, judge_cache)
 }
 _T = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 _U = f"""WITH u AS (SELECT * REPLACE ({_T.format("scene_type")} AS scene_type, coalesce(nullif({_T.format("question_type")}, ''), 'unknown') AS question_type,
     CASE WHEN isnan(spill_seconds) THEN NULL ELSE spill_seconds END AS spill_seconds, CASE WHEN isnan(partial_quality) THEN NULL ELSE partial_quality END AS partial_quality),
     CASE WHEN is_interrupted THEN 0 ELSE CAST(coalesce(score_core, 0) <= 0 AS INTEGER) END AS fn,
-    CASE WHEN {_T.format("scene_type")} = 'nested' THEN CASE WHEN slot_id % 2 = 1 THEN 'outer' ELSE 'inner' END ELSE 'none' END AS role,
+    CASE WHEN {_T.format("scene_type")} = 'nested' THEN CASE WHEN {_T.format("question_type")} = 'proactive' THEN 'outer' WHEN {_T.format("question_type")} = 'realtime' THEN 'inner' WHEN slot_id % 2 = 1 THEN 'outer' ELSE 'inner' END ELSE 'none' END AS role,
     (coalesce(num_chunks, 0) > 0 OR length(regexp_replace(coalesce(actual_text, ''), '[\\s\\x{{a0}}\\x{{3000}}]', '', 'g')) > 0) AS has_output
   FROM (SELECT DISTINCT ON (eval_id) * FROM unified_eval))
 """
@@ -150,6 +181,14 @@ def _subtracted(clamped: bool) -> str:
     return f", k AS ({' UNION ALL '.join(parts)}), kk AS (SELECT {_final('model_name, class')} FROM k)"
 
 
+_NESTED = TL._MATCH + ", " + _U.replace("WITH ", "", 1) + f""", so AS (SELECT DISTINCT ON (slot_uid) sample_id, slot_id, least(start, "end") AS st, t_a, {_T.format("nested_role")} AS nr, step_index FROM slots),
+fc AS (SELECT model_name, sample_id, slot_id, min(cs) AS fc FROM p WHERE phase = 'core' GROUP BY ALL),
+nr AS (SELECT u.model_name, u.sample_id, u.slot_id, so.st, CASE WHEN nr IN ('outer', 'inner') THEN nr ELSE role END AS role, coalesce('step_' || step_index, 'slot_pair_' || ((u.slot_id + 1) // 2)) AS pair, greatest(0, coalesce(score_core, 0)) AS sc, CASE WHEN fc IS NOT NULL THEN greatest(fc, coalesce(so.t_a, fc)) ELSE u.max_chunk_end END AS began
+  FROM u LEFT JOIN so ON so.sample_id = u.sample_id AND so.slot_id = u.slot_id LEFT JOIN fc ON fc.model_name = u.model_name AND fc.sample_id = u.sample_id AND fc.slot_id = u.slot_id WHERE u.scene_type = 'nested'),
+ng AS (SELECT model_name, sample_id, pair, arg_min({{'s': sc, 'a': began}}, (coalesce(st, 0), slot_id)) FILTER (role = 'outer') AS o, arg_min({{'s': sc, 'a': began}}, (coalesce(st, 0), slot_id)) FILTER (role = 'inner') AS i FROM nr GROUP BY ALL),
+nx AS (SELECT *, o IS NULL OR i IS NULL AS is_missing, coalesce(o.s > 0 AND i.s > 0, false) AS ok, coalesce(i.a <= o.a, true) AS io FROM ng),
+np AS (SELECT model_name, sample_id, pair, is_missing, NOT is_missing AND coalesce(o.s <= 0, false) AS outer_missed, NOT is_missing AND coalesce(i.s <= 0, false) AS inner_missed, ok AND NOT io AS order_error, CASE WHEN ok AND io THEN sqrt(o.s * i.s) ELSE 0.0 END AS score FROM nx)
+"""
 _PLACE = "CASE model_name " + " ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(ORDER)) + " ELSE 99 END"
 ORACLES = {
     "f1_totals": _TOT + " SELECT * FROM t",
@@ -162,12 +201,18 @@ SELECT {_final('model_name, grouping, value')} FROM h""",
     "pure_scores": _U + f" SELECT model_name, scene_type, round({_r('sum(coalesce(score_core, 0))', 'count(*)')}, 6) AS core_all, " + ", ".join(f"round({_r(f'sum(CASE WHEN NOT is_interrupted THEN coalesce({c}, 0) END)', 'count(*) FILTER (NOT is_interrupted)')}, 6) AS {n}" for c, n in (("score_core", "core_free"), ("score_ack", "ack_free"), ("tp_n", "tp_free"))) + " FROM u GROUP BY ALL",
     "interruptions": _U + f""", g AS (SELECT model_name, count(*) AS n_interrupted, count(*) FILTER (has_output) AS n_output, count(*) FILTER {_JUDGED} AS n_judged, sum(partial_quality) FILTER {_JUDGED} AS qs, coalesce(sum(partial_quality) FILTER ({_JUDGED} AND partial_quality >= 0.5), 0) AS tp, count(*) FILTER ({_JUDGED} AND partial_quality < 0.5) AS n_low, count(*) FILTER ({_LATE} > 0) AS n_spill, sum({_LATE}) AS ls FROM u WHERE is_interrupted GROUP BY model_name)
 SELECT model_name, n_interrupted, n_output, n_judged, n_low, n_spill, round({_r('n_interrupted - n_output', 'n_interrupted')}, 6) AS no_output_rate, round({_r('qs', 'n_judged')}, 6) AS mean_quality, round({_r('qs', 'n_output')}, 6) AS quality_per_output, round({_r('n_spill', 'n_interrupted')}, 6) AS spill_rate, round({_r('n_spill', 'n_output')}, 6) AS spill_rate_output, round({_r('ls', 'n_spill')}, 6) AS mean_late_seconds, round({_f('tp', '(n_low + n_spill)', 'n_low')}, 6) AS f1 FROM g""",
-    "interruption_labels": _U + rf""", l AS (SELECT {_LATE} AS late, has_output, length(regexp_replace(coalesce(actual_text, ''), '^[\s\x{{a0}}\x{{3000}}]+|[\s\x{{a0}}\x{{3000}}]+$', '', 'g')) AS n FROM u WHERE is_interrupted)
-SELECT CASE WHEN late > 1 THEN 'overflow' WHEN NOT has_output THEN 'no_output' WHEN late > 0 AND n <= 12 THEN 'short_near_interrupt' WHEN late > 0 THEN 'stopped_near_interrupt' WHEN n <= 12 THEN 'short_finished_before_interrupt' ELSE 'finished_before_interrupt' END AS label, count(*) AS n FROM l GROUP BY ALL""",
+    "interruption_labels": TL._MATCH + ", " + _U.replace("WITH ", "", 1) + rf""", b AS (SELECT model_name, sample_id, slot_id, min(cs) AS rs, max(ce) AS re FROM p WHERE slot_id IS NOT NULL GROUP BY ALL),
+l AS (SELECT u.model_name, u.sample_id, u.slot_id, {_LATE} AS late, has_output, length(regexp_replace(coalesce(actual_text, ''), '^[\s\x{{a0}}\x{{3000}}]+|[\s\x{{a0}}\x{{3000}}]+$', '', 'g')) AS n, coalesce(s.e0, 0) AS se, coalesce(b.re, u.max_chunk_end) AS re, rs
+  FROM u LEFT JOIN s ON s.sample_id = u.sample_id AND s.slot_id = u.slot_id LEFT JOIN b ON b.model_name = u.model_name AND b.sample_id = u.sample_id AND b.slot_id = u.slot_id WHERE u.is_interrupted),
+f AS (SELECT *, coalesce(has_output AND (n <= 20 OR coalesce(greatest(0, re - rs) <= 2, false)), false) AS short, coalesce(has_output AND se - re <= 0.5, false) AS near FROM l)
+SELECT model_name, sample_id, slot_id, CASE WHEN late > 0 THEN 'overflow' WHEN NOT has_output THEN 'no_output' WHEN near AND short THEN 'short_near_interrupt' WHEN near THEN 'stopped_near_interrupt' WHEN short THEN 'short_finished_before_interrupt' ELSE 'finished_before_interrupt' END AS label FROM f""",
     "spill_statistics": _U + f" SELECT model_name, {_SPILL} FROM u GROUP BY model_name",
     "spill_breakdown": _U + _BREAK,
-    "nested_completion": _U + f""", pr AS (SELECT model_name, sample_id, (slot_id + 1) // 2 AS pair, arg_min(coalesce(score_core, 0), slot_id) FILTER (role = 'outer') AS q1, arg_min(coalesce(score_core, 0), slot_id) FILTER (role = 'inner') AS q2 FROM u WHERE scene_type = 'nested' GROUP BY ALL)
-SELECT model_name, count(*) AS n_pairs, count(*) FILTER (q1 IS NULL OR q2 IS NULL) AS n_missing, count(*) FILTER (q1 <= 0) AS n_outer_missed, count(*) FILTER (q2 <= 0) AS n_inner_missed, round(sum(CASE WHEN q1 > 0 AND q2 > 0 THEN sqrt(q1 * q2) ELSE 0 END) / count(*), 6) AS completion FROM pr GROUP BY model_name""",
+    "nested_pairs": _NESTED + " SELECT model_name, sample_id, pair, is_missing, outer_missed, inner_missed, order_error, round(score, 6) AS score FROM np",
+    "nested_completion": _NESTED + f" SELECT model_name, count(*) AS n_pairs, count(*) FILTER (is_missing) AS n_is_missing, count(*) FILTER (outer_missed) AS n_outer_missed, count(*) FILTER (inner_missed) AS n_inner_missed, count(*) FILTER (order_error) AS n_order_error, count(*) FILTER (score > 0) AS n_success, round({_r('sum(score)', 'count(*)')}, 6) AS completion FROM np GROUP BY model_name",
+    "f1_math_subset": _U + rf""", m AS (SELECT DISTINCT ON (sample_id) sample_id, contains('data/' || subset || '/' || video, '/1q1a_math/') OR contains('data/' || subset || '/' || annotation, '/1q1a_math/') AS is_math FROM sample_manifest),
+t0 AS (SELECT model_name, coalesce(is_math, false) AS is_math, {_SUMS} FROM u LEFT JOIN m USING (sample_id) GROUP BY ALL) SELECT {_final('model_name, is_math')} FROM t0""",
+    "f1_by_scene_sorted": _U + f", t0 AS (SELECT scene_type, {_SUMS} FROM u GROUP BY ALL) SELECT {_final('scene_type')} FROM t0 ORDER BY scene_type",
     "paper_metrics": _U + _subtracted(True) + " SELECT * FROM kk",
     "exclusive_classes": _U + _subtracted(False) + " SELECT * FROM kk",
     "exclusive_f1": _U + _subtracted(False) + f" SELECT model_name, round({_f('sum(tp)', 'sum(fp)', 'sum(fn)')}, 5) AS micro_f1, round(avg(f1), 5) AS macro_f1, round({_r('sum(f1 * n_slots)', 'sum(n_slots)')}, 5) AS weighted_f1 FROM kk GROUP BY model_name",

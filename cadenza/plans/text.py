@@ -122,5 +122,5 @@ SELECT p_partkey, CAST(CASE i WHEN 0 THEN d / 10.0 WHEN 1 THEN 0.7 WHEN 3 THEN 1
 SELECT p_partkey, (c // 360000) || ':' || lpad(CAST(c // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS shown,
   replace(replace(replace(replace(replace({_ESC}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS safe, 3 AS n_list, printf('%.3f', p_size / 8.0::DOUBLE) AS fixed FROM x""",
     "pairs_and_waits": "SELECT p_partkey, 'm' || p_size AS name, '/a=b' AS path, least(pow(2.0, p_partkey % 8), 30.0) AS wait, round(CASE WHEN p_size * 400.0 > 10000 THEN p_size * 100.0::DOUBLE / 1000 ELSE p_size * 100.0::DOUBLE END, 6) AS start_s, round(CASE WHEN p_size * 400.0 > 10000 THEN p_size * 400.0::DOUBLE / 1000 ELSE p_size * 400.0::DOUBLE END, 6) AS end_s, p_size * 64 AS vision_tokens, round(p_size * 0.5::DOUBLE, 3) AS audio_seconds, round(-23.0 - (-0.691 + 10 * log10(p_retailprice)), 6) AS gain FROM part",
-    "steps_and_phrases": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?m)^\s*\d+[.)]\s*(.+)$', 1)) AS INTEGER) AS n_steps, CAST(CASE WHEN instr(text, 'The Camera') > 0 THEN instr(text, 'The Camera') ELSE instr(lower(text), 'the camera') END AS INTEGER) AS at, TRY_CAST(nullif(regexp_extract(substr(text, 1, 2000), '[-+]?\d+(?:\.\d+)?', 0), '') AS DOUBLE) AS first_number FROM documents WHERE text IS NOT NULL",
+    "steps_and_phrases": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?m)^\s*\d+[.)]\s*(.+)$', 1)) AS INTEGER) AS n_steps, CAST(CASE WHEN instr(text, 'The Camera') > 0 THEN instr(text, 'The Camera') ELSE instr(lower(text), 'the camera') END AS INTEGER) AS at, TRY_CAST(nullif(regexp_extract(text, '[-+]?\d+(?:\.\d+)?', 0), '') AS DOUBLE) AS first_number FROM documents WHERE text IS NOT NULL",
 }
