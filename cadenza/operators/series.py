@@ -1,8 +1,9 @@
 """Order-dependent operators over event series: islands, run lengths, running sums, recurrences.
 
-All take rows with a key, an order and measures. Windows run over one key in one sorted, streaming pass;
-what cannot be said as a window (a recurrence) is folded over the sorted pass in Arrow batches with the
-carried state as the only memory.
+All take rows with a key, an order and measures. A key may hold a third of all rows, so what runs along it is
+cut into stretches of time: a window over each (key, stretch), and a row per stretch that carries sums, maxima
+and last values from one to the next. What cannot be said so (a recurrence) is folded over the sorted pass in
+Arrow batches with the carried state as the only memory.
 """
 
 from __future__ import annotations
@@ -14,10 +15,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(rows: DataFrame, key: str, order: list[str], is_break: Column) -> DataFrame:
+#: Seconds of a key's time that one task sees at once.
+STRETCH_S = 86_400.0
+
+
+def stretch_of(time: str = "t", seconds: float = STRETCH_S) -> Column:
+    """The number of the stretch a time in seconds lies in."""
+    return F.floor(F.col(time) / seconds)
+
+
+def running(rows: DataFrame, key: str, order: list[str], stretch: Column, before: bool = False, **measures: tuple[str, Column]) -> DataFrame:
+    """Adds running measures along each key: ``name=("sum" | "max" | "last", column)``, ``last`` being the last value
+    that is not NULL. Up to and with the row, or with ``before`` up to the row before it.
+
+    ``stretch`` cuts a key along ``order`` (it must not fall along it). Rows meet only those of their stretch; a
+    row per stretch is summed up first and carried to the later ones.
+    """
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    cut = rows.withColumn("__st", stretch)
+    place = F.struct(*order)
+    total = {"sum": F.sum, "max": F.max, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), place))}
+    inside = Window.partitionBy(key, "__st").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    earlier = Window.partitionBy(key).orderBy("__st").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
+    totals = cut.groupBy(key, "__st").agg(*[total[kind](c).alias(f"__t_{n}") for n, (kind, c) in measures.items()])
+    carried = totals.select(key, "__st", *[over[kind](F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n, (kind, _) in measures.items()])
+    out = cut.join(carried, [key, "__st"])
+    for n, (kind, c) in measures.items():
+        own, carry = over[kind](c).over(inside), F.col(f"__c_{n}")
+        both = {"sum": F.coalesce(own + carry, own, carry), "max": F.greatest(own, carry), "last": F.coalesce(own, carry)}[kind]
+        out = out.withColumn(n, both)
+    return out.drop("__st", *[f"__c_{n}" for n in measures])
+
+
+def previous(rows: DataFrame, key: str, order: list[str], stretch: Column, **columns: Column) -> DataFrame:
+    """Adds ``name``: a column of the row before, whatever its stretch; NULL for the first row of a key."""
+    boxed = {f"__p_{n}": ("last", F.struct(c.alias("v"))) for n, c in columns.items()}
+    out = running(rows, key, order, stretch, before=True, **boxed)
+    for n in columns:
+        out = out.withColumn(n, F.col(f"__p_{n}.v"))
+    return out.drop(*boxed)
+
+
+def islands(rows: DataFrame, key: str, order: list[str], is_break: Column, stretch: Column | None = None) -> DataFrame:
     """Adds ``island``: the number of breaks up to and with the row."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("island", F.sum(F.coalesce(is_break, F.lit(False)).cast("int")).over(w))
+    return running(rows, key, order, stretch_of() if stretch is None else stretch, island=("sum", F.coalesce(is_break, F.lit(False)).cast("bigint")))
 
 
 def speaking_islands(rows: DataFrame, key: str, order: list[str], speaking: Column) -> DataFrame:
@@ -26,18 +67,17 @@ def speaking_islands(rows: DataFrame, key: str, order: list[str], speaking: Colu
     return cut.filter("__speaks").groupBy(key, "island").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
-def merged_touching(rows: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """Segments that begin where the one before ends, as one."""
-    w = Window.partitionBy(key).orderBy(low, high)
-    before = F.lag(high).over(w)
-    cut = islands(rows.withColumn("__new", before.isNull() | (F.col(low) != before)), key, [low, high], F.col("__new"))
+def merged_touching(rows: DataFrame, key: str, low: str, high: str, width: float = STRETCH_S) -> DataFrame:
+    """Segments that begin where the one before ends, as one; ``width`` is that of a stretch."""
+    marked = previous(rows, key, [low, high], stretch_of(low, width), __before=F.col(high))
+    cut = islands(marked, key, [low, high], F.col("__before").isNull() | (F.col(low) != F.col("__before")), stretch_of(low, width))
     return cut.groupBy(key, "island").agg(F.min(low).alias(low), F.max(high).alias(high), F.count(F.lit(1)).alias("n")).drop("island")
 
 
 def run_lengths(rows: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
     """Runs of equal labels; a NULL label ends a run and makes none."""
-    w = Window.partitionBy(key).orderBy(*order)
-    cut = islands(rows.withColumn("__new", ~F.lag(label).over(w).eqNullSafe(F.col(label))), key, order, F.col("__new"))
+    marked = previous(rows, key, order, stretch_of(), __before=F.col(label))
+    cut = islands(marked, key, order, ~F.col("__before").eqNullSafe(F.col(label)))
     return cut.filter(F.col(label).isNotNull()).groupBy(key, "island", label).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
@@ -59,14 +99,14 @@ def proportional_times(rows: DataFrame, key: str, order: str, weight: Column, to
 
 def turn_index(rows: DataFrame, key: str, order: list[str], closes: Column) -> DataFrame:
     """Adds ``turn``: how many earlier rows closed a turn."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("turn", F.coalesce(F.sum(closes.cast("int")).over(w), F.lit(0)))
+    out = running(rows, key, order, stretch_of(), before=True, turn=("sum", closes.cast("bigint")))
+    return out.withColumn("turn", F.coalesce("turn", F.lit(0)))
 
 
 def laid_end_to_end(rows: DataFrame, key: str, order: list[str], length: Column) -> DataFrame:
     """Adds ``offset`` and ``end_offset`` of rows laid one after the other."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__n", length).withColumn("end_offset", F.sum("__n").over(w)).withColumn("offset", F.col("end_offset") - F.col("__n")).drop("__n")
+    out = running(rows.withColumn("__n", length), key, order, stretch_of(), end_offset=("sum", F.col("__n")))
+    return out.withColumn("offset", F.col("end_offset") - F.col("__n")).drop("__n")
 
 
 def subtitles(rows: DataFrame, key: str, order: list[str], text: str, hold: float) -> DataFrame:
@@ -83,16 +123,16 @@ def subtitles(rows: DataFrame, key: str, order: list[str], text: str, hold: floa
 
 def time_to_first(rows: DataFrame, key: str, order: list[str], speaking: Column) -> DataFrame:
     """For each row that speaks after one that listened: the time since that one."""
-    w = Window.partitionBy(key).orderBy(*order)
     flagged = rows.withColumn("__s", speaking)
-    out = flagged.withColumn("__before", F.lag("__s").over(w)).withColumn("__heard", F.last(F.when(~F.col("__s"), F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return out.filter(F.col("__s") & (F.col("__before") == F.lit(False))).withColumn("wait", F.col("t") - F.col("__heard")).drop("__s", "__before", "__heard")
+    out = running(flagged, key, order, stretch_of(), before=True, __before=("last", F.struct(F.col("__s").alias("v"))), __heard=("last", F.when(~F.col("__s"), F.col("t"))))
+    return out.filter(F.col("__s") & (F.col("__before.v") == F.lit(False))).withColumn("wait", F.col("t") - F.col("__heard")).drop("__s", "__before", "__heard")
 
 
 def drift(rows: DataFrame, key: str, order: list[str], sent: str, received: str) -> DataFrame:
     """Adds ``drift``: how much later a row came than the first row of its key, by the sender's clock."""
-    first = F.first(F.col(received) - F.col(sent), ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("drift", F.col(received) - F.col(sent) - first)
+    late = F.col(received) - F.col(sent)
+    first = rows.groupBy(key).agg(F.min_by(late, F.when(late.isNotNull(), F.struct(*order))).alias("__first"))
+    return rows.join(first, key).withColumn("drift", late - F.col("__first")).drop("__first")
 
 
 def placed_without_overlap(rows: DataFrame, key: str, order: list[str], arrival: str, duration: str) -> DataFrame:
@@ -101,17 +141,17 @@ def placed_without_overlap(rows: DataFrame, key: str, order: list[str], arrival:
     next = max(next, arrival) + duration, as a running maximum: with S the sum of durations up to a row,
     its end is S + max over rows so far of (arrival - sum of durations before).
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    upto = F.sum(duration).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("__s", upto).withColumn("__lead", F.max(F.col(arrival) - (F.col("__s") - F.col(duration))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = running(rows, key, order, stretch_of(), __s=("sum", F.col(duration)))
+    out = running(out, key, order, stretch_of(), __lead=("max", F.col(arrival) - (F.col("__s") - F.col(duration))))
     out = out.withColumn("end", F.col("__s") + F.col("__lead")).withColumn("start", F.col("end") - F.col(duration))
-    return out.withColumn("gap", F.greatest(F.col("start") - F.lag("end").over(w), F.lit(0.0))).drop("__s", "__lead")
+    out = previous(out, key, order, stretch_of(), __last_end=F.col("end"))
+    return out.withColumn("gap", F.greatest(F.col("start") - F.col("__last_end"), F.lit(0.0))).drop("__s", "__lead", "__last_end")
 
 
-def retained(rows: DataFrame, key: str, newest: list[Column], size: str, capacity: float) -> DataFrame:
-    """Adds ``kept``: from the newest on, rows are kept as long as all of them fit."""
-    w = Window.partitionBy(key).orderBy(*newest).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("kept", F.sum(size).over(w) <= capacity)
+def retained(rows: DataFrame, key: str, newest: list[str], age: str, size: str, capacity: float) -> DataFrame:
+    """Adds ``kept``: from the newest on, rows are kept as long as all of them fit. ``newest`` are columns that
+    rise from the newest row to the oldest, the first of them ``age`` in seconds."""
+    return running(rows, key, newest, stretch_of(age), __held=("sum", F.col(size))).withColumn("kept", F.col("__held") <= capacity).drop("__held")
 
 
 def blocks(rows: DataFrame, time: str, length: str, hop: str) -> DataFrame:
@@ -141,20 +181,18 @@ def dropped_after_interrupt(rows: DataFrame, key: str, order: list[str], interru
 
     The group cut off is that of the last row before the interrupt; a row of another group lifts the cut.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("__i", interrupt)
-    out = out.withColumn("__spoken", F.last(F.when(~F.col("__i"), F.col(group)), ignorenulls=True).over(so_far))
+    out = running(rows.withColumn("__i", interrupt), key, order, stretch_of(), before=True, __spoken=("last", F.when(~F.coalesce(interrupt, F.lit(False)), F.col(group))))
     # The group cut off by the last interrupt, and the last group heard since: the cut holds while that is the same.
-    out = out.withColumn("__cut", F.last(F.when(F.col("__i"), F.struct(F.col("__spoken").alias("g"))), ignorenulls=True).over(so_far))
+    out = running(out, key, order, stretch_of(), before=True, __cut=("last", F.when(F.col("__i"), F.struct(F.col("__spoken").alias("g")))))
     return out.filter(~F.col("__i") & ~F.coalesce(F.col("__cut.g") == F.col(group), F.lit(False))).drop("__i", "__spoken", "__cut")
 
 
-def folded(rows: DataFrame, key: str, order: list[str], inputs: list[str], start: Callable[[], object], step: Callable, output: str, kind: str = "double") -> DataFrame:
+def folded(rows: DataFrame, key: str | list[str], order: list[str], inputs: list[str], start: Callable[[], object], step: Callable, output: str, kind: str = "double") -> DataFrame:
     """A recurrence over each key in order: ``state, out = step(state, *inputs)``; rows with ``output`` added.
 
     One sorted pass in Arrow batches; the only memory is the state, so a key may be of any size.
     """
+    keys = [key] if isinstance(key, str) else key
     arrow = {"double": pa.float64(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[kind]
     columns = rows.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{output}` {kind}"
@@ -163,19 +201,35 @@ def folded(rows: DataFrame, key: str, order: list[str], inputs: list[str], start
         current, state, begun = None, None, False
         for batch in batches:
             out = []
-            for k, *values in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in inputs), strict=True):
+            for k, *values in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), *(batch.column(c).to_pylist() for c in inputs), strict=True):
                 if not begun or k != current:
                     current, state, begun = k, start(), True
                 state, o = step(state, *values)
                 out.append(o)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*columns, output])
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def moving_average(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving average; the first value of a key is its start."""
-    return folded(rows, key, order, [value], lambda: None, lambda s, v: ((v if s is None else alpha * v + (1 - alpha) * s),) * 2, "ema")
+def moving_average(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3, least: int = 1) -> DataFrame:
+    """Adds ``ema``, an exponential moving average that starts with the first value of a key; NULL before
+    ``least`` values were seen.
+
+    A step is the affine map s -> (1 - alpha) s + alpha v, and such maps compose, so a key is folded stretch by
+    stretch: each gives its own average and what is left of the start, and a row per stretch carries the rest.
+    """
+    left = 1 - alpha
+    cut = rows.withColumn("__st", stretch_of())
+    first = rows.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias("__first"))
+    # Within a stretch: the fold from 0, by a sorted pass, with the number of rows so far.
+    part = folded(cut, [key, "__st"], order, [value], lambda: 0.0, lambda s, v: (left * s + alpha * v,) * 2, "__own")
+    part = part.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__st").orderBy(*order)))
+    ends = part.groupBy(key, "__st").agg(F.max("__n").alias("__n"), F.max_by("__own", F.struct(*order)).alias("__own")).join(first, key)
+    carried = folded(ends, [key], ["__st"], ["__own", "__n", "__first"], lambda: None, lambda s, own, n, v: ((own + left**n * (v if s is None else s)), v if s is None else s), "__carry").select(key, "__st", "__carry")
+    out = part.join(carried, [key, "__st"]).withColumn("ema", F.col("__own") + F.pow(F.lit(left), F.col("__n")) * F.col("__carry"))
+    if least > 1:
+        out = running(out, key, order, stretch_of(), __seen=("sum", F.lit(1))).withColumn("ema", F.when(F.col("__seen") >= least, F.col("ema"))).drop("__seen")
+    return out.drop("__st", "__own", "__n", "__carry")
 
 
 def queue_times(queue: DataFrame, key: str, order: list[str], workers: int, service: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import clamp, clean_label, decay, is_time
+from cadenza.operators.series import running
 from cadenza.sources.tables import once
 
 #: Seconds of media time in one bin of an interval join.
@@ -181,15 +182,16 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, tolerance: float,
     return a.join(b, [key, "__bin"]).filter(touch & (F.col("__bin") == first)).drop("__bin")
 
 
-def asof_backward(events: DataFrame, states: DataFrame, key: str, value: str) -> DataFrame:
+def asof_backward(events: DataFrame, states: DataFrame, key: str, value: str, stretch_s: float = BIN_S) -> DataFrame:
     """Each event (key, event_id, t) with ``value`` of the last state (key, t, value) at or before it.
 
-    Union, one sort per key, and a running last value: no pair of rows is ever formed.
+    Union, a sort per stretch of time of a key, and a running last value that is carried from stretch to
+    stretch: no pair of rows is ever formed, and a key is spread over its stretches.
     """
     left = events.select(key, "t", F.col("event_id"), F.lit(None).cast(states.schema[value].dataType).alias(value), F.lit(1).alias("side"))
     right = states.select(key, "t", F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), value, F.lit(0).alias("side"))
-    order = Window.partitionBy(key).orderBy("t", "side", value).rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn(value, F.last(value, ignorenulls=True).over(order)).filter("side = 1").select(key, "event_id", "t", value)
+    both = running(left.unionByName(right).withColumn("__v", F.col(value)), key, ["t", "side", "__v"], F.floor(F.col("t") / stretch_s), **{"__last": ("last", F.col("__v"))})
+    return both.filter("side = 1").select(key, "event_id", "t", F.col("__last").alias(value))
 
 
 def stage_scores(phased: DataFrame, slots: DataFrame, verdicts: DataFrame, w_ack: float = 0.2, threshold: float = 0.5) -> DataFrame:

@@ -91,8 +91,8 @@ def right_placement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retention(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "created_at", "n_chars")
-    out = S.retained(docs, "source", [F.col("created_at").desc(), F.col("doc_id").desc()], "n_chars", 20000)
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_chars", (-micros_to_seconds("created_at")).alias("age"), (-F.col("doc_id")).alias("place"))
+    out = S.retained(docs, "source", ["age", "place"], "age", "n_chars", 20000)
     return out.groupBy("source").agg(F.count_if("kept").alias("n_kept"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("n_chars"))), F.lit(0)).alias("chars_kept"), F.count_if(~F.col("kept")).alias("n_gone"))
 
 
