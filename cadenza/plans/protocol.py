@@ -50,13 +50,13 @@ def chunk_times(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of a model as chunks with an index; even models have logical times of their own for some."""
     r = once(spark, folder, "batch_result", ["model_name", "num_chunks"]).select(F.col("model_name").alias("key"), (F.col("result_id") % 5000).cast("bigint").alias("i"), "num_chunks")
     r = r.groupBy("key", "i").agg(F.max("num_chunks").alias("n"))
-    logical = r.filter("i % 3 <> 0").select("key", "i", (F.col("i") * 2.0).alias("start"), (F.col("i") * 2.0 + 1.5).alias("end"))
+    logical = r.filter("n IS NOT NULL").select("key", "i", (F.col("i") * 2.0).alias("start"), (F.col("i") * 2.0 + 1.5).alias("end"))
     return R.logical_times(r, logical, "key", "i").select("key", "i", "start", "next_start")
 
 
 def recorded_chunks(spark: SparkSession, folder: str) -> DataFrame:
     e = _events(spark, folder).select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("index"), (F.col("value") * 100 / 3).alias("receive_ts_ms"), (F.col("event_type") == "view").alias("is_listen"), (F.col("value") / 9).alias("prefill_ms"), (F.col("value") / 7).alias("cost_llm_ms"),
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("index"), (F.col("value") * 100 / 3).alias("receive_ts_ms"), (F.col("event_type") == "view").alias("is_listen"), (F.col("value") * 0.318309).alias("prefill_ms"), (F.col("value") * 0.707107).alias("cost_llm_ms"),
         F.col("k").alias("n_tokens"), F.when(F.col("k") % 4 == 0, "").otherwise(F.col("event_type")).alias("text"), (F.col("k") * 960).alias("ai_audio_samples"), (F.col("event_type") == "purchase").alias("end_of_turn"),
     )
     out = R.recorded(e)
@@ -129,9 +129,9 @@ sh AS (SELECT fr.user_id, number, rid, sum(least(fr.b, pr.b) - greatest(fr.a, pr
 ms AS (SELECT user_id, number, arg_max(rid, (n, -at0)) AS source FROM sh GROUP BY ALL)
 SELECT fr.user_id, CAST(fr.number AS BIGINT) AS number, CAST(took AS BIGINT) AS taken, source FROM fr LEFT JOIN ms ON ms.user_id = fr.user_id AND ms.number = fr.number""",
     "response_texts": _E + _LABEL + ", l1 AS (SELECT * FROM l0)" + _RUN.replace(" SELECT user_id, label, min(t)", ", z AS (SELECT user_id, label, min(t)", 1) + ") SELECT user_id, label, round(first_t, 3) AS first_t, n, 'first words' AS text FROM z WHERE label = 'r0'",
-    "chunk_times": """WITH r AS (SELECT model_name AS key, result_id % 5000 AS i, max(num_chunks) AS n FROM (SELECT DISTINCT ON (result_id) * FROM batch_result) GROUP BY ALL), l AS (SELECT key, i, i * 2.0::DOUBLE AS s, i * 2.0::DOUBLE + 1.5::DOUBLE AS e FROM r WHERE i % 3 <> 0)
+    "chunk_times": """WITH r AS (SELECT model_name AS key, result_id % 5000 AS i, max(num_chunks) AS n FROM (SELECT DISTINCT ON (result_id) * FROM batch_result) GROUP BY ALL), l AS (SELECT key, i, i * 2.0::DOUBLE AS s, i * 2.0::DOUBLE + 1.5::DOUBLE AS e FROM r WHERE n IS NOT NULL)
 SELECT r.key, r.i, coalesce(a.s, CAST(r.i AS DOUBLE)) AS start, CASE WHEN a.s IS NULL THEN CAST(r.i + 1 AS DOUBLE) ELSE coalesce(b.s, a.e) END AS next_start FROM r LEFT JOIN l a ON a.key = r.key AND a.i = r.i LEFT JOIN l b ON b.key = r.key AND b.i = r.i + 1""",
-    "recorded_chunks": _E + " SELECT user_id AS session_id, event_id AS \"index\", round(value * 100 / 3, 1) AS receive_ts_ms, CASE WHEN event_type = 'view' THEN 'LISTEN' ELSE 'SPEAK' END AS mode, round(value / 9, 1) AS prefill_ms, round(value / 7, 1) AS llm_ms, CAST(k AS BIGINT) AS n_tokens, CASE WHEN event_type <> 'view' AND k % 4 <> 0 THEN event_type END AS text, CASE WHEN event_type <> 'view' AND k > 0 THEN CAST(k * 40 AS BIGINT) END AS ai_audio_duration_ms, event_type = 'purchase' AS end_of_turn FROM e",
+    "recorded_chunks": _E + " SELECT user_id AS session_id, event_id AS \"index\", round(value * 100 / 3, 1) AS receive_ts_ms, CASE WHEN event_type = 'view' THEN 'LISTEN' ELSE 'SPEAK' END AS mode, round(value * 0.318309::DOUBLE, 1) AS prefill_ms, round(value * 0.707107::DOUBLE, 1) AS llm_ms, CAST(k AS BIGINT) AS n_tokens, CASE WHEN event_type <> 'view' AND k % 4 <> 0 THEN event_type END AS text, CASE WHEN event_type <> 'view' AND k > 0 THEN CAST(k * 40 AS BIGINT) END AS ai_audio_duration_ms, event_type = 'purchase' AS end_of_turn FROM e",
     "second_rollup": _E + """, x AS (SELECT *, CAST(floor(t / 86400) AS BIGINT) AS second FROM e WHERE event_type <> 'view')
 SELECT user_id, second, coalesce(string_agg('s' || k, '' ORDER BY t, event_id) FILTER (event_type = 'signup'), '') AS model_text, coalesce(string_agg('e' || k, ' ' ORDER BY t, event_id) FILTER (event_type = 'error'), '') AS asr_text, CAST(coalesce(sum(k) FILTER (event_type = 'click'), 0) AS BIGINT) AS audio_bytes, arg_min(CASE WHEN k % 2 = 0 THEN 'zh' ELSE 'en' END, (t, event_id)) FILTER (event_type = 'purchase') AS language FROM x GROUP BY ALL""",
     "response_audio": _E + " SELECT user_id, CAST(floor(k / 25.0) AS BIGINT) AS rid, round(sum(k * 240) / 24000.0::DOUBLE, 6) AS audio_seconds FROM e WHERE event_type = 'click' GROUP BY ALL",
