@@ -84,36 +84,42 @@ def voice_activity(probabilities: ColumnLike, threshold: float = 0.5, release: f
     return F.pandas_udf(run, kind)(col(probabilities))
 
 
-def shelf_coefficients(rate: float, frequency: float = 1681.97, gain: float = 4.0, q: float = 0.7072) -> tuple[np.ndarray, np.ndarray]:
-    """High shelf in closed form: numerator and denominator, the latter beginning with 1."""
-    a, w = 10 ** (gain / 40), 2 * math.pi * min(frequency / rate, 0.49)
-    s, c = math.sin(w) / (2 * q), math.cos(w)
-    r = 2 * math.sqrt(a) * s
-    b = np.array([a * ((a + 1) + (a - 1) * c + r), -2 * a * ((a - 1) + (a + 1) * c), a * ((a + 1) + (a - 1) * c - r)])
-    d = np.array([(a + 1) - (a - 1) * c + r, 2 * ((a - 1) - (a + 1) * c), (a + 1) - (a - 1) * c - r])
-    return b / d[0], d / d[0]
-
-
-def filtered(x: ColumnLike, rate: float = 16000.0) -> Column:
-    """The samples through the shelf: a recurrence, so an Arrow UDF."""
-    b, a = shelf_coefficients(rate)
-
-    def run(s: pd.Series) -> pd.Series:
-        out = []
-        for v in s:
-            if v is None:
-                out.append(None)
-                continue
-            x1 = x2 = y1 = y2 = 0.0
-            ys = []
-            for u in v:
-                y = b[0] * u + b[1] * x1 + b[2] * x2 - a[1] * y1 - a[2] * y2
-                x2, x1, y2, y1 = x1, u, y1, y
-                ys.append(y)
-            out.append(ys)
-        return pd.Series(out)
-
-    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(col(x))
+#: Fixed values of the loudness standard: the shelf (gain in dB, frequency, quality, exponent) and the high-pass after it.
+SHELF_DB, SHELF_HZ, SHELF_Q, SHELF_EXPONENT = 3.999843853973347, 1681.974450955533, 0.7071752369554196, 0.4996667741545416
+PASS_HZ, PASS_Q = 38.13547087602444, 0.5003270373238773
+
+
+def k_weighting(rate: float) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The two stages of K-weighting at a sample rate, each as (b0, b1, b2, a1, a2), by the bilinear transform."""
+
+    def stage(hz: float, q: float, top: tuple[float, float, float]) -> tuple[float, ...]:
+        k = math.tan(math.pi * hz / rate)
+        scale = 1 + k / q + k * k
+        high, band, low = top  # of the transfer function: (high s^2 + band s + low) / (s^2 + s / q + 1)
+        b = (high + band * k / q + low * k * k, 2 * (low * k * k - high), high - band * k / q + low * k * k)
+        return (*(v / scale for v in b), 2 * (k * k - 1) / scale, (1 - k / q + k * k) / scale)
+
+    gain = 10 ** (SHELF_DB / 20)
+    shelf = stage(SHELF_HZ, SHELF_Q, (gain, gain**SHELF_EXPONENT, 1.0))
+    return shelf, stage(PASS_HZ, PASS_Q, (1.0, 0.0, 0.0))
+
+
+def biquad(samples: np.ndarray, c: tuple[float, ...]) -> list[float]:
+    """A second-order recursive filter over one recording, its two delays as the only memory."""
+    b0, b1, b2, a1, a2 = c
+    first = second = 0.0
+    out = []
+    for v in samples:
+        y = b0 * v + first
+        first, second = b1 * v - a1 * y + second, b2 * v - a2 * y
+        out.append(y)
+    return out
+
+
+def k_weighted(x: ColumnLike, rate: float = 16000.0) -> Column:
+    """Samples as loudness hears them: both stages of K-weighting, a recurrence and so an Arrow UDF."""
+    shelf, high_pass = k_weighting(rate)
+    return F.pandas_udf(lambda s: pd.Series([None if v is None else biquad(biquad(v, shelf), high_pass) for v in s]), T.ArrayType(T.DoubleType()))(col(x))
 
 
 def wav_bytes(samples: ColumnLike, rate: int = 16000, seconds: float | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import first_by, safe_ratio
+from cadenza.operators.series import running
 
 
 def keep_first(rows: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
@@ -106,21 +107,31 @@ def preferred(rows: DataFrame, keys: list[str], kind: str, order: list[str]) ->
     return first_by(rows, keys, [F.when(rank == 0, len(order) + 1).otherwise(rank).asc(), F.col(kind).asc()])
 
 
-def shard(rows: DataFrame, order: list[str], shards: int, slice_of: str, slices: int = 256) -> DataFrame:
-    """Number of the shard of each row, round robin in order, without sorting all rows in one task:
-    a row's place is its place in its slice of the order plus the rows of earlier slices."""
-    part = F.pmod(F.xxhash64(slice_of), F.lit(slices))
-    cut = rows.withColumn("__s", part)
-    sizes = cut.groupBy("__s").count()
-    before = sizes.select("__s", (F.sum("count").over(Window.orderBy("__s")) - F.col("count")).alias("__before"))  # a row per slice
-    place = F.row_number().over(Window.partitionBy("__s").orderBy(*order)) - 1
-    return cut.withColumn("__i", place).join(F.broadcast(before), "__s").withColumn("shard", F.pmod(F.col("__i") + F.col("__before"), F.lit(shards)).cast("int")).drop("__s", "__i", "__before")
+def numbered(rows: DataFrame, key: str | None, order: str, width: int = 100_000) -> DataFrame:
+    """Adds ``place``, from 0, of each row of a key (of all rows without one) in the order of a number. Rows meet by
+    ranges of ``width`` of that number; a row per range carries how many came before."""
+    keyed = rows.withColumn("__k", F.lit(0) if key is None else F.col(key))
+    return running(keyed, "__k", [order], F.floor(F.col(order) / width), place=("sum", F.lit(1))).withColumn("place", F.col("place") - 1).drop("__k")
 
 
-def stride(rows: DataFrame, keys: list[str], order: str, step: int) -> DataFrame:
+def shard(rows: DataFrame, order: str, shards: int, width: int = 100_000) -> DataFrame:
+    """Adds ``shard``: rows dealt out one after the other in the order of a number."""
+    return numbered(rows, None, order, width).withColumn("shard", (F.col("place") % shards).cast("int")).drop("place")
+
+
+def stride(rows: DataFrame, key: str, order: str, step: int, width: int = 100_000) -> DataFrame:
     """Every ``step``-th row of a key, the first included."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return rows.withColumn("__i", at).filter(F.col("__i") % step == 0).drop("__i")
+    return numbered(rows, key, order, width).filter(F.col("place") % step == 0).drop("place")
+
+
+def sampled_frames(frames: Column, fps: Column, target: float = 1.0, most: int = 64) -> Column:
+    """Numbers of the frames taken from a recording: ``target`` a second, and where these are more than ``most``,
+    evenly fewer of them, ``most`` at most."""
+    step = F.greatest(F.lit(1), F.floor(fps / target).cast("int"))
+    taken = F.when(frames > 0, F.sequence(F.lit(0), (frames - 1).cast("int"), step)).otherwise(F.array().cast("array<int>"))
+    again = F.greatest(F.lit(1), F.floor(F.size(taken) / most).cast("int"))
+    fewer = F.slice(F.filter(taken, lambda v, i: i % again == 0), 1, most)
+    return F.when(F.size(taken) > most, fewer).otherwise(taken)
 
 
 def worker_counts(rows: DataFrame, busy: tuple[str, ...]) -> DataFrame:

@@ -6,7 +6,7 @@ interruption, a view a frame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators import protocol as R
@@ -15,22 +15,26 @@ from cadenza.plans import Query
 from cadenza.plans.series import _E, _LABEL, _RUN, ORDER, _events, _label
 from cadenza.sources.tables import once, table
 
-IS_AUDIO, IS_DONE, IS_CUT = F.expr("event_type = 'click'"), F.expr("event_type = 'purchase'"), F.expr("event_type = 'error'")
+AUDIO, DONE, CUT = "click", "purchase", "error"
+
+
+def _is(kind: str) -> Column:
+    return F.col("event_type") == kind
 
 
 def implicit_turns(spark: SparkSession, folder: str) -> DataFrame:
-    closing = F.when(IS_DONE, "complete").when(IS_CUT, "interrupted")
+    closing = F.when(_is(DONE), "complete").when(_is(CUT), "interrupted")
     out = R.implicit_turns(_events(spark, folder), "user_id", ORDER, F.col("event_type").isin("click", "signup"), closing, "k")
     return out.select("user_id", "turn", F.round("opened", 3).alias("opened"), F.round("closed", 3).alias("closed"), "closed_by", "n_deltas", "total")
 
 
 def interrupted_buffer(spark: SparkSession, folder: str) -> DataFrame:
-    return R.buffered(_events(spark, folder), "user_id", ORDER, IS_AUDIO, IS_CUT, "k").select("event_id", "pending", "is_muted")
+    return R.buffered(_events(spark, folder), "user_id", ORDER, _is(AUDIO), _is(CUT), "k").select("event_id", "pending", "is_muted")
 
 
 def audio_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Frames that may go out: none between the end of a response and the next audio."""
-    return R.audio_first(_events(spark, folder), "user_id", ORDER, IS_AUDIO, IS_DONE).filter("event_type = 'view'").select("event_id", "may_send")
+    return R.audio_first(_events(spark, folder), "user_id", ORDER, _is(AUDIO), _is(DONE)).filter("event_type = 'view'").select("event_id", "may_send")
 
 
 def frame_fifo(spark: SparkSession, folder: str) -> DataFrame:

@@ -136,14 +136,20 @@ def message_tails(spark: SparkSession, folder: str) -> DataFrame:
     return _runs(spark, folder).filter("error IS NOT NULL").select("result_id", F.left("error", F.lit(12)).alias("head"), F.right("error", F.lit(16)).alias("tail"))
 
 
-def shard_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Round-robin shards differ by one row at most."""
-    n = R.shard(_runs(spark, folder), ["result_id"], 8, "result_id").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.count(F.lit(1)).alias("n_shards"), F.sum("n").alias("n_rows"), (F.max("n") - F.min("n") <= 1).alias("even"))
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs dealt out to eight shards in the order of their numbers."""
+    return R.shard(_runs(spark, folder), "result_id", 8).select("result_id", "shard")
 
 
 def stride_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return R.stride(_runs(spark, folder), ["model_name"], "result_id", 5).select("model_name", "result_id")
+    return R.stride(_runs(spark, folder), "model_name", "result_id", 5).select("model_name", "result_id")
+
+
+def sampled_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames of every recording of known length at 29.97 a second: one a second, 64 at most."""
+    m = _manifest(spark, folder).filter("video_duration_sec IS NOT NULL")
+    frames = F.floor(F.col("video_duration_sec") * 29.97)
+    return m.select("sample_id", F.explode(R.sampled_frames(frames, F.lit(29.97))).alias("frame"))
 
 
 def previous_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,7 +167,7 @@ def average_over_ok(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (dedupe_last, dedupe_first, status_histogram, run_aggregate, rtf, latency_ab, stage_statistics, mean_by_model, worker_counts, skip_existing, manifest_coverage, coverage_sets, missing_report, manifest_enrich, scene_rules, path_parts, resolve_outputs, preferred_run, union_passthrough, required_models, ordered_items, message_tails, shard_counts, stride_sample, previous_run, average_over_ok)
+    for f in (dedupe_last, dedupe_first, status_histogram, run_aggregate, rtf, latency_ab, stage_statistics, mean_by_model, worker_counts, skip_existing, manifest_coverage, coverage_sets, missing_report, manifest_enrich, scene_rules, path_parts, resolve_outputs, preferred_run, union_passthrough, required_models, ordered_items, message_tails, shards, stride_sample, sampled_frames, previous_run, average_over_ok)
 }
 _R = "WITH r AS (SELECT DISTINCT ON (result_id) * FROM batch_result), m AS (SELECT DISTINCT ON (sample_id) * FROM sample_manifest)"
 _ONE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, sample_id ORDER BY attempt {0}, result_id {0}) AS rn FROM r) WHERE rn = 1"
@@ -196,7 +202,8 @@ SELECT sample_id, status, result_id FROM (SELECT *, row_number() OVER (PARTITION
     "required_models": f"{_R} SELECT * FROM (VALUES ('quill_duplex'), ('merle_stream'), ('ostrea_omni_8b'), ('larkvoice_rt'), ('not_there')) AS t(model_name) WHERE model_name NOT IN (SELECT model_name FROM r)",
     "ordered_items": rf"{_R} SELECT sample_id, TRY_CAST(regexp_extract(sample_id, '(\d+)$', 1) AS INTEGER) AS item_index FROM m ORDER BY item_index IS NULL, item_index, sample_id",
     "message_tails": f"{_R} SELECT result_id, left(error, 12) AS head, right(error, 16) AS tail FROM r WHERE error IS NOT NULL",
-    "shard_counts": f"{_R} SELECT CAST(8 AS BIGINT) AS n_shards, count(*) AS n_rows, true AS even FROM r",
+    "shards": f"{_R} SELECT result_id, CAST((row_number() OVER (ORDER BY result_id) - 1) % 8 AS INTEGER) AS shard FROM r",
+    "sampled_frames": f"{_R}, x AS (SELECT sample_id, range(0, CAST(floor(video_duration_sec * 29.97::DOUBLE) AS BIGINT), 29) AS f FROM m WHERE video_duration_sec IS NOT NULL), y AS (SELECT sample_id, CASE WHEN len(f) > 64 THEN list_transform(range(0, len(f), greatest(1, len(f) // 64)), lambda i: f[i + 1])[1:64] ELSE f END AS f FROM x) SELECT sample_id, CAST(unnest(f) AS INTEGER) AS frame FROM y",
     "stride_sample": f"{_R} SELECT model_name, result_id FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY result_id) - 1 AS i FROM r) WHERE i % 5 = 0",
     "previous_run": f"{_R} SELECT r.model_name, r.sample_id, r.attempt, r.status, b.status AS previous_status FROM r LEFT JOIN r b ON r.model_name = b.model_name AND r.sample_id = b.sample_id AND r.attempt = b.attempt + 1",
     "average_over_ok": f"{_R} SELECT model_name, round(coalesce(avg(rtf) FILTER (status = 'ok'), 0), 6) AS mean_rtf, count(*) FILTER (rtf IS NULL) AS n_without FROM r GROUP BY ALL",

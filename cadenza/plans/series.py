@@ -101,13 +101,15 @@ def ema(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queue_eta(spark: SparkSession, folder: str) -> DataFrame:
-    e = _events(spark, folder).select("event_id", "event_type", "t", "value")
-    return S.queue_times(e, "event_type", ORDER, 2, "value").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("starts_at"), 4).alias("last_start"))
+    """When each event's job starts, a pool of two workers to a user."""
+    e = _events(spark, folder).select("event_id", "user_id", "t", "value")
+    return S.queue_times(e, "user_id", ORDER, 2, "value").select("event_id", F.round("starts_at", 4).alias("starts_at"))
 
 
 def kv_window(spark: SparkSession, folder: str) -> DataFrame:
+    """What is held after each event, if above 400 the oldest go until 200 is met."""
     e = _events(spark, folder).select("event_id", "user_id", "t", F.col("k").cast("double").alias("size"))
-    return S.water_marks(e, "user_id", ORDER, "size", 400.0, 200.0).groupBy("user_id").agg(F.round(F.max("held"), 3).alias("most_held"), F.round(F.max_by("held", F.struct("t", "event_id")), 3).alias("held_last"))
+    return S.water_marks(e, "user_id", ORDER, "size", 400.0, 200.0).select("event_id", "held")
 
 
 def kv_context(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,6 +218,10 @@ SELECT l_orderkey, l_linenumber, round(60.0::DOUBLE * (u - w) / tot, 6) AS start
     "right_placement": _E + _PLACED + " SELECT event_id, round(st - t, 2) + 0.0 AS pushed FROM z",
     "retention": "WITH x AS (SELECT coalesce(source, '') AS source, n_chars, sum(n_chars) OVER (PARTITION BY coalesce(source, '') ORDER BY created_at DESC, doc_id DESC ROWS UNBOUNDED PRECEDING) <= 20000 AS kept FROM documents) SELECT source, count(*) FILTER (kept) AS n_kept, CAST(coalesce(sum(n_chars) FILTER (kept), 0) AS BIGINT) AS chars_kept, count(*) FILTER (NOT kept) AS n_gone FROM x GROUP BY source",
     "ema": _E + ", o AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS i FROM e), r AS (SELECT event_id, event_type, i, value AS ema FROM o WHERE i = 1 UNION ALL SELECT o.event_id, o.event_type, o.i, 0.3::DOUBLE * o.value + 0.7::DOUBLE * r.ema FROM r JOIN o ON o.event_type = r.event_type AND o.i = r.i + 1) SELECT event_id, round(ema, 6) AS ema FROM r",
+    "queue_eta": _E + """, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e), q AS (SELECT user_id, i, event_id, 0.0::DOUBLE AS at0, 0.0::DOUBLE AS a, value AS b FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, o.event_id, q.a, least(q.b, q.a + o.value), greatest(q.b, q.a + o.value) FROM q JOIN o ON o.user_id = q.user_id AND o.i = q.i + 1) SELECT event_id, round(at0, 4) AS starts_at FROM q""",
+    "kv_window": _E + """, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e), q AS (SELECT user_id, i, event_id, [k] AS h FROM o WHERE i = 1
+  UNION ALL SELECT user_id, i, event_id, CASE WHEN list_sum(h) > 400 THEN h[list_min(list_filter(range(1, len(h) + 1), lambda d: list_sum(h) - list_sum(h[1:d]) <= 200)) + 1:] ELSE h END FROM (SELECT o.user_id, o.i, o.event_id, list_append(q.h, o.k) AS h FROM q JOIN o ON o.user_id = q.user_id AND o.i = q.i + 1)) SELECT event_id, CAST(coalesce(list_sum(h), 0) AS DOUBLE) AS held FROM q""",
     "kv_context": _E + " SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS rn FROM e) WHERE rn <= 24",
     "warm_up": _E + f" SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, row_number() OVER {_W} AS i FROM e) WHERE i > 3 GROUP BY user_id",
     "time_buckets": _E + " SELECT user_id, CAST(floor(t / 86400) AS BIGINT) AS bucket, count(*) AS n, round(sum(value), 6) AS total, string_agg(event_type, ' ' ORDER BY t, event_id) AS labels, arg_min(event_type, (t, event_id)) AS first_label FROM e GROUP BY ALL",

@@ -69,10 +69,12 @@ def covered_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def absolute_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Word times made relative to the chunk and back, to three decimals."""
+    """Word times as an aligner gives them, from 0 at the first word of a chunk, laid on the chunk's own start, to
+    three decimals; a chunk without start keeps its words out."""
     c = once(spark, folder, "chunks", ["start", "aligned_words"]).filter("aligned_words IS NOT NULL AND start IS NOT NULL")
-    rel = F.transform("aligned_words", lambda w: F.round(F.col("start") + (w["start"] - F.col("start")), 3))
-    return c.select("model_name", "sample_id", "chunk_id", F.round(F.aggregate(F.filter(rel, lambda x: x.isNotNull()), F.lit(0.0), lambda a, b: a + b), 6).alias("start_sum"))
+    first = F.array_min(F.transform("aligned_words", lambda w: w["start"]))
+    rel = c.select("model_name", "sample_id", "chunk_id", "start", F.posexplode(F.transform("aligned_words", lambda w: w["start"] - first)).alias("i", "rel"))
+    return rel.filter("rel IS NOT NULL").select("model_name", "sample_id", "chunk_id", "i", F.floor((F.col("start") + F.col("rel")) * 1000 + 0.5).alias("absolute_ms"))
 
 
 def judge_parse(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +82,18 @@ def judge_parse(spark: SparkSession, folder: str) -> DataFrame:
     i = F.col("p_partkey") % 5
     raw = F.when(i == 0, F.concat(F.lit('Verdict: {"score": 0.'), (F.col("p_size") % 10).cast("string"), F.lit(', "label": "x"} done'))).when(i == 1, "I give 0.7 because").when(i == 2, "clear Halluci-nation").when(i == 3, "Not Relevant, 3 of 10").otherwise("no idea")
     rows = _numbered(spark, folder).withColumn("raw", raw)
-    return rows.select("p_partkey", F.round(X.judge_score("raw"), 6).alias("score"), X.judge_label("raw").alias("label"), X.json_object("raw").alias("object"))
+    return rows.select("p_partkey", F.round(X.judge_score("raw"), 6).alias("score"), X.json_object("raw").alias("object"))
+
+
+def early_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories and scores out of what a judge of early parts wrote."""
+    i, tenth = F.col("p_partkey") % 8, (F.col("p_size") % 20).cast("string")
+    raw = (
+        F.when(i == 0, F.concat(F.lit('So: {"flag": "Neutral", "score": 0.'), tenth, F.lit("}"))).when(i == 1, '{"flag": "HALLUCI NATION", "score": 1}').when(i == 2, "it is neutral").when(i == 3, F.concat(F.lit('{"flag": "neutral", "score": "'), tenth, F.lit('"}')))
+        .when(i == 4, '{"score": 0.7}').when(i == 5, '{"flag": "neutral"}').when(i == 6, "Hallucination!").otherwise("")
+    )
+    v = _numbered(spark, folder).select("p_partkey", X.early_verdict(raw).alias("v"))
+    return v.select("p_partkey", "v.category", F.round("v.score", 6).alias("score"))
 
 
 def formatted(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +114,7 @@ def steps_and_phrases(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (parse_time, to_bool, bounded, normalized_text, language_test, common_prefixes, numerals, numeral_runs, covered_prefix, absolute_words, judge_parse, formatted, pairs_and_waits, steps_and_phrases)
+    for f in (parse_time, to_bool, bounded, normalized_text, language_test, common_prefixes, numerals, numeral_runs, covered_prefix, absolute_words, judge_parse, early_verdicts, formatted, pairs_and_waits, steps_and_phrases)
 }
 _RAW = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TIMES)) + " END"
 _ESC = "'<b>''' || p_name || ''' & \"x\"</b>'"
@@ -115,9 +128,14 @@ SELECT p_partkey, CASE len(s) WHEN 1 THEN TRY_CAST(s[1] AS DOUBLE) WHEN 2 THEN T
     "numeral_runs": r"""WITH c AS (SELECT DISTINCT ON (model_name, sample_id, chunk_id) * FROM chunks WHERE aligned_words IS NOT NULL), w AS (SELECT model_name, sample_id, chunk_id, unnest(range(1, len(aligned_words) + 1)) AS i, unnest(aligned_words).text AS tx FROM c),
 f AS (SELECT *, coalesce(regexp_full_match(tx, '[0-9零一二两三四五六七八九十百]+'), false) AS num FROM w), r AS (SELECT *, sum(CASE WHEN num THEN 0 ELSE 1 END) OVER (PARTITION BY model_name, sample_id, chunk_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f)
 SELECT model_name, sample_id, chunk_id, string_agg(tx, '' ORDER BY i) AS token FROM r WHERE num GROUP BY model_name, sample_id, chunk_id, run""",
-    "absolute_words": "WITH c AS (SELECT DISTINCT ON (model_name, sample_id, chunk_id) * FROM chunks WHERE aligned_words IS NOT NULL AND start IS NOT NULL) SELECT model_name, sample_id, chunk_id, round(coalesce(list_sum(list_transform(list_filter(aligned_words, lambda w: w.start IS NOT NULL), lambda w: round(w.start, 3))), 0), 6) AS start_sum FROM c",
+    "absolute_words": "WITH c AS (SELECT DISTINCT ON (model_name, sample_id, chunk_id) * FROM chunks WHERE aligned_words IS NOT NULL AND start IS NOT NULL), w AS (SELECT model_name, sample_id, chunk_id, start, list_min(list_transform(aligned_words, lambda x: x.start)) AS f, unnest(range(len(aligned_words))) AS i, unnest(aligned_words).start AS ws FROM c) SELECT model_name, sample_id, chunk_id, CAST(i AS INTEGER) AS i, CAST(floor((start + (ws - f)) * 1000 + 0.5) AS BIGINT) AS absolute_ms FROM w WHERE ws IS NOT NULL",
+    "numerals": r"""WITH s AS (SELECT DISTINCT ON (slot_uid) * FROM slots), n AS (SELECT unnest(regexp_extract_all(gt_answer, '([零一二两三四五六七八九十百]+)', 1)) AS numeral FROM s), g AS (SELECT numeral, count(*) AS n FROM n GROUP BY ALL),
+t AS (SELECT *, translate(numeral, '零一二两三四五六七八九十百', '01223456789tb') AS d FROM g)
+SELECT numeral, n, CASE WHEN regexp_full_match(d, '[0-9]+') THEN CAST(d AS BIGINT) ELSE CAST(coalesce(list_sum(list_transform(regexp_extract_all(d, '([0-9]?)b', 1), lambda x: 100 * coalesce(nullif(TRY_CAST(x AS INTEGER), 0), 1))), 0) + coalesce(list_sum(list_transform(regexp_extract_all(d, '([0-9]?)t', 1), lambda x: 10 * coalesce(nullif(TRY_CAST(x AS INTEGER), 0), 1))), 0) + coalesce(TRY_CAST(regexp_extract(d, '([0-9])$', 1) AS INTEGER), 0) AS BIGINT) END AS value FROM t""",
+    "early_verdicts": """WITH x AS (SELECT p_partkey, p_partkey % 8 AS i, p_size % 20 AS t FROM part)
+SELECT p_partkey, CASE WHEN i IN (1, 6) THEN 'hallucination' ELSE 'neutral' END AS category, CAST(CASE i WHEN 0 THEN CAST('0.' || t AS DOUBLE) WHEN 2 THEN 1 WHEN 3 THEN least(1, t) WHEN 5 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM x""",
     "judge_parse": """WITH x AS (SELECT p_partkey, p_partkey % 5 AS i, p_size % 10 AS d FROM part)
-SELECT p_partkey, CAST(CASE i WHEN 0 THEN d / 10.0 WHEN 1 THEN 0.7 WHEN 3 THEN 1 ELSE 0 END AS DOUBLE) AS score, CASE i WHEN 2 THEN 'neutral' WHEN 3 THEN 'relevant' ELSE 'neutral' END AS label, CASE WHEN i = 0 THEN '{"label":"x","score":0.' || d || '}' END AS object FROM x""",
+SELECT p_partkey, CAST(CASE i WHEN 0 THEN d / 10.0 WHEN 1 THEN 0.7 WHEN 3 THEN 1 ELSE 0 END AS DOUBLE) AS score, CASE WHEN i = 0 THEN '{"label":"x","score":0.' || d || '}' END AS object FROM x""",
     "formatted": f"""WITH x AS (SELECT *, CAST(floor((p_partkey * 7 + 0.25) * 100 + 0.5) AS BIGINT) AS c FROM part)
 SELECT p_partkey, (c // 360000) || ':' || lpad(CAST(c // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS shown,
   replace(replace(replace(replace(replace({_ESC}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS safe, 3 AS n_list, printf('%.3f', p_size / 8.0::DOUBLE) AS fixed FROM x""",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,126 @@ def without_interrupted(stream: DataFrame) -> DataFrame:
     return stream.select("user_id", "event_id", "ts", "event_type", "grp").groupBy("user_id").applyInPandasWithState(_after_interrupt, "event_id bigint, grp bigint", "spoken bigint, cut bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def stateful(stream: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], list[tuple]], output: str) -> DataFrame:
+    """Rows of a key in order, one at a time, against a small state: ``step(state, row)`` changes the state and gives
+    the rows that come out, each (key, ...) as in ``output``. The state is kept as JSON; rows of a key must arrive in
+    order across triggers."""
+    names = [x.split()[0].strip("`") for x in output.split(",")]
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else start()
+        out = []
+        for row in pd.concat(list(batches)).sort_values(order)[columns].itertuples(index=False, name=None):
+            out += [(k[0], *made) for made in step(held, row)]
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=names)
+
+    return stream.select(*dict.fromkeys([key, *order, *columns])).groupBy(key).applyInPandasWithState(run, output, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def implicit_turns(stream: DataFrame) -> DataFrame:
+    """Turns that the first click or signup opens and a purchase or an error closes; an open one comes out when it is
+    closed. (user_id, turn, n_deltas, closed_by)."""
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        (kind,) = row
+        if kind in ("click", "signup"):
+            s["turn"] += s["n"] == 0
+            s["n"] += 1
+        elif kind in ("purchase", "error") and s["n"]:
+            n, s["n"] = s["n"], 0
+            return [(s["turn"], n, "complete" if kind == "purchase" else "interrupted")]
+        return []
+
+    return stateful(stream, "user_id", ["ts", "event_id"], ["event_type"], lambda: {"turn": 0, "n": 0}, step, "user_id bigint, turn bigint, n_deltas bigint, closed_by string")
+
+
+def interrupted_buffer(stream: DataFrame) -> DataFrame:
+    """After each event what a buffer of audio holds, which an interrupt empties and mutes until the next audio.
+    (user_id, event_id, pending, is_muted); rows have a size ``k``."""
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        ident, kind, k = row
+        if kind == "click":
+            s["pending"], s["muted"] = s["pending"] + int(k), False
+        elif kind == "error":
+            s["pending"], s["muted"] = 0, True
+        return [(int(ident), s["pending"], s["muted"])]
+
+    return stateful(stream, "user_id", ["ts", "event_id"], ["event_id", "event_type", "k"], lambda: {"pending": 0, "muted": False}, step, "user_id bigint, event_id bigint, pending bigint, is_muted boolean")
+
+
+def audio_gate(stream: DataFrame) -> DataFrame:
+    """Views that may go out: none from a purchase until the next click. (user_id, event_id, may_send)."""
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        ident, kind = row
+        if kind in ("purchase", "click"):
+            s["shut"] = kind == "purchase"
+        return [(int(ident), not s["shut"])] if kind == "view" else []
+
+    return stateful(stream, "user_id", ["ts", "event_id"], ["event_id", "event_type"], lambda: {"shut": False}, step, "user_id bigint, event_id bigint, may_send boolean")
+
+
+def frame_fifo(stream: DataFrame, frame: int) -> DataFrame:
+    """Frames that take up to ``frame`` bytes from the front of a buffer: (user_id, number, taken, source), the source
+    of most of the bytes, of equals the first, NULL for silence. Rows have a size ``k`` and a source ``rid``."""
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        kind, k, rid = row
+        if kind == "click":
+            if k > 0:
+                s["held"].append([int(k), rid])
+            return []
+        taken: dict[str, int] = {}
+        room = frame
+        while room and s["held"]:
+            part = min(room, s["held"][0][0])
+            taken[s["held"][0][1]] = taken.get(s["held"][0][1], 0) + part
+            room -= part
+            s["held"][0][0] -= part
+            if not s["held"][0][0]:
+                s["held"].pop(0)
+        s["number"] += 1
+        return [(s["number"] - 1, frame - room, max(taken, key=taken.get) if taken else None)]
+
+    kinds = stream.filter("event_type IN ('click', 'view')")
+    return stateful(kinds, "user_id", ["ts", "event_id"], ["event_type", "k", "rid"], lambda: {"held": [], "number": 0}, step, "user_id bigint, number bigint, taken bigint, source string")
+
+
+def voice_segments(stream: DataFrame, threshold: float = 0.5, release: float = 0.15, window: int = 512, min_silence: int = 12_800, min_speech: int = 2_048) -> DataFrame:
+    """Stretches of speech out of probabilities, a window of samples each: (user_id, start, end) in samples.
+
+    Speech begins at ``threshold`` and ends once the probability has been ``release`` below it for ``min_silence``;
+    what is shorter than ``min_speech`` is no speech. Rows have a probability ``p``.
+    """
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        (p,) = row
+        out = []
+        if p >= threshold and s["start"] is None:
+            s["start"], s["quiet"] = s["at"], None
+        if s["start"] is not None:
+            if p < threshold - release:
+                s["quiet"] = s["at"] if s["quiet"] is None else s["quiet"]
+                if s["at"] - s["quiet"] + window >= min_silence:
+                    if s["at"] - s["start"] >= min_speech:
+                        out.append((s["start"], s["at"] + window))
+                    s["start"] = s["quiet"] = None
+            else:
+                s["quiet"] = None
+        s["at"] += window
+        return out
+
+    return stateful(stream, "user_id", ["ts", "event_id"], ["p"], lambda: {"at": 0, "start": None, "quiet": None}, step, "user_id bigint, start bigint, `end` bigint")
+
+
+def paced(stream: DataFrame, path: str, checkpoint: str, seconds: float) -> StreamingQuery:
+    """A stream written at the pace of real time: a batch every ``seconds``, of what one trigger may read. The caller
+    stops it."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").start()
+
+
 def _finish(query: StreamingQuery, seconds: int) -> None:
     """Wait for the end of a query over what is available; one that does not end is stopped and an error."""
     try:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import series as S
+from cadenza.plans import protocol as PL
 from cadenza.plans.series import response_sessions
 from cadenza.sources import files
 from cadenza.streaming import events as E
@@ -82,6 +83,37 @@ def test_stateful_equals_batch(spark, stream_folder):
     assert sorted((r["user_id"], r["turn"], r["n"]) for r in got.filter("is_complete").collect()) == sorted((r["user_id"], r["turn"], r["n"]) for r in batch.collect())
     grouped = lambda df: df.withColumn("grp", F.floor(F.get_json_object("props", "$.k").cast("int") / 25))
     got = E.run_available(E.without_interrupted(grouped(E.read_events(spark, stream_folder))), "cut")
-    rows = grouped(spark.read.parquet(stream_folder)).withColumn("t", F.col("ts"))
+    rows = grouped(spark.read.parquet(stream_folder)).withColumn("t", F.unix_micros("ts") / F.lit(1e6))
     batch = S.dropped_after_interrupt(rows, "user_id", ["t", "event_id"], F.col("event_type") == "error", "grp")
     assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in batch.collect())
+
+
+def _rows_of(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_protocol_streams_equal_batch(spark, stream_folder):
+    source = lambda: E.read_events(spark, stream_folder).withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("rid", F.concat(F.lit("r"), F.floor(F.col("k") / 25).cast("string")))
+    turns = E.run_available(E.implicit_turns(source()), "turns")
+    batch = PL.implicit_turns(spark, DATA).filter("closed_by IS NOT NULL")
+    assert _rows_of(turns, "user_id", "turn", "n_deltas", "closed_by") == _rows_of(batch, "user_id", "turn", "n_deltas", "closed_by")
+    assert _rows_of(E.run_available(E.interrupted_buffer(source()), "buffer"), "event_id", "pending", "is_muted") == _rows_of(PL.interrupted_buffer(spark, DATA), "event_id", "pending", "is_muted")
+    assert _rows_of(E.run_available(E.audio_gate(source()), "gate"), "event_id", "may_send") == _rows_of(PL.audio_gate(spark, DATA), "event_id", "may_send")
+    fifo = lambda df: sorted((r["user_id"], r["number"], r["taken"], r["source"] or "") for r in df.collect())
+    assert fifo(E.run_available(E.frame_fifo(source(), 40), "fifo")) == fifo(PL.frame_fifo(spark, DATA))
+
+
+def test_voice_segments_of_a_stream(spark, tmp_path):
+    p = [0.1, 0.6, 0.9, 0.4, 0.9, 0.2, 0.2, 0.1, 0.7, 0.2, 0.2, 0.2, 0.9]
+    rows = spark.createDataFrame([(i, 1, float(v)) for i, v in enumerate(p)], "event_id bigint, user_id bigint, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id"))).withColumn("event_type", F.lit("view")).withColumn("props", F.lit("{}"))
+    rows.select("event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = E.read_events(spark, str(tmp_path / "in")).withColumn("p", F.col("value"))
+    got = E.run_available(E.voice_segments(stream, window=10, min_silence=30, min_speech=20), "voice")
+    assert _rows_of(got, "start", "end") == [(10, 80), (80, 120)]
+
+
+def test_a_stream_that_does_not_end_is_an_error(spark, stream_folder):
+    query = E.read_events(spark, stream_folder).writeStream.format("noop").trigger(processingTime="1 second").start()
+    with pytest.raises(TimeoutError):
+        E._finish(query, 1)
+    assert not query.isActive

@@ -32,8 +32,9 @@ def test_ratio_and_clamp(spark):
 
 
 @pytest.mark.parametrize(("text", "number"), [("十", 10), ("一百二十三", 123), ("两万三千", 23000), ("一零五", 105), ("abc", None), ("", None), (None, None)])
-def test_chinese_number(text, number):
-    assert X.chinese_number(text) == number
+def test_chinese_number(spark, text, number):
+    got = spark.createDataFrame([(text,)], "t string").select(X.chinese_numeral("t")).first()[0]
+    assert got == number
 
 
 def test_spoken_prefix():
