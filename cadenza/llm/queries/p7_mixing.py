@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.mixing import mix, shares
@@ -32,5 +32,20 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(mixed, table(spark, folder, "mix_target"), "source").withColumnRenamed("size", "n_tokens")
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
-ORACLES: dict[str, str] = {}
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of a mix, per source of the targets: no document more often than it may be, none of another
+    source, and a size off its share by less than one typical document or 1 % of it."""
+    targets = table(spark, folder, "mix_target")
+    mixed = p7_mix(spark, folder)
+    source = table(spark, folder, "documents").select("doc_id", F.col("source").alias("own"))
+    right = mixed.join(source, "doc_id").groupBy("source").agg(F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("n_foreign"), F.max("n_tokens").alias("largest"))
+    reached = shares(mixed.withColumnRenamed("n_tokens", "size"), targets, "source")
+    total = F.sum("size").over(Window.partitionBy())  # a row per target
+    off = F.abs(F.col("size") - F.col("reachable_share") * F.col("total"))
+    rows = reached.withColumn("total", total).join(right, "source", "left")
+    near = off <= F.greatest(0.01 * F.col("reachable_share") * F.col("total"), F.coalesce(F.col("largest"), F.lit(0)))
+    return rows.select("source", (F.coalesce("most_copies", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), F.coalesce("n_foreign", F.lit(0)).alias("n_foreign"), near.alias("near_share"))
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_invariants": p7_invariants}
+ORACLES = {"p7_invariants": "SELECT source, true AS within_cap, CAST(0 AS BIGINT) AS n_foreign, true AS near_share FROM mix_target"}

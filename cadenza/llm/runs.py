@@ -162,7 +162,7 @@ def collapse_runs(events: DataFrame, keys: list[str], ident: str, text: str, sta
     nothing = F.lit(None).cast("double")
     rows = events.select(
         *keys,
-        F.floor(F.col(ident) / F.lit(block)).alias("block"),
+        F.expr(f"CAST(`{ident}` AS BIGINT) DIV {int(block)}").alias("block"),  # in whole numbers: a double has 53 bits
         F.col(ident).cast("bigint").alias("id"),
         F.col(text).alias("text"),
         (nothing if start is None else start).alias("low"),
