@@ -60,9 +60,11 @@ def worker_counts(spark: SparkSession, folder: str) -> DataFrame:
 def skip_existing(spark: SparkSession, folder: str) -> DataFrame:
     """What is still to run: listed samples without an ok run of a model."""
     listed = _manifest(spark, folder).select("sample_id")
-    models = _runs(spark, folder).select("model_name").distinct()  # a row per model
+    models = _runs(spark, folder).select("model_name").distinct()
     done = _runs(spark, folder).filter("status = 'ok'").select("model_name", "sample_id")
-    todo = listed.select("sample_id", F.explode(F.array(*[F.lit(r["model_name"]) for r in models.collect()])).alias("model_name"))
+    # All models in one array: a row whose size is that of their names, whatever the number of runs.
+    every = models.agg(F.array_sort(F.collect_set("model_name")).alias("models"))
+    todo = listed.crossJoin(F.broadcast(every)).select("sample_id", F.explode("models").alias("model_name"))
     return todo.join(done, ["model_name", "sample_id"], "left_anti")
 
 

@@ -3,8 +3,11 @@ and sinks for reports, logs and published folders."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,23 +44,24 @@ def batch_summary(spark: SparkSession, path: str, keep_all: bool = False) -> Dat
 
 
 def named_files(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
-    """Documents of all files of a pattern, in any depth, with the file's name."""
-    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder).withColumn("file_name", F.col("_metadata.file_name"))
+    """Documents of all files of a pattern, in any depth, with the file's name, by name."""
+    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder).withColumn("file_name", F.col("_metadata.file_name")).orderBy("file_name")
 
 
-def questions(rows: DataFrame) -> DataFrame:
-    """Annotated questions with both times, in order of time."""
+def questions(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Annotated questions with both times; ``keys`` tell whose they are and are kept. Order by keys, q and a where
+    an order is needed."""
     from cadenza.functions.scalars import clean_label, parse_time, to_bool
 
-    out = rows.select(parse_time("question_time").alias("q"), parse_time("answer_time").alias("a"), F.coalesce("question_text", F.lit("")).alias("question_text"), F.coalesce("answer_text", F.lit("")).alias("answer_text"), clean_label("question_type", "unknown").alias("question_type"), to_bool("is_interrupted").alias("is_interrupted"))
-    return out.filter("q IS NOT NULL AND a IS NOT NULL").orderBy("q", "a")
+    out = rows.select(*keys, parse_time("question_time").alias("q"), parse_time("answer_time").alias("a"), F.coalesce("question_text", F.lit("")).alias("question_text"), F.coalesce("answer_text", F.lit("")).alias("answer_text"), clean_label("question_type", "unknown").alias("question_type"), to_bool("is_interrupted").alias("is_interrupted"))
+    return out.filter("q IS NOT NULL AND a IS NOT NULL")
 
 
-def conversation_answers(rows: DataFrame) -> DataFrame:
-    """Task annotations (conversations or answers) to one row per answer: question, answer time and text.
+def conversation_answers(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Task annotations (conversations or answers) to one row per answer: ``keys``, question, answer time and text.
 
     The first user message is the question; knowledge that was inferred is put before it, in the
-    conversation form alone; answers come in order of time.
+    conversation form alone; ``position`` is an answer's place in its document.
     """
     from cadenza.functions.scalars import parse_time, to_bool
 
@@ -68,16 +72,20 @@ def conversation_answers(rows: DataFrame) -> DataFrame:
     question = F.when(talk, F.concat_ws("\n\n", knowledge, asked["value"])).otherwise(F.col("question_text"))
     answers = F.when(talk, F.transform(spoken, lambda m: F.struct(m["timestamp"].alias("at"), m["value"].alias("text"), m["interrupted"].alias("cut")))).otherwise(F.transform("answers", lambda m: F.struct(m["answer_time"].alias("at"), m["answer_text"].alias("text"), F.coalesce(m["interrupted"], m["is_interrupted"]).alias("cut"))))
     time = F.coalesce(parse_time(F.when(talk, asked["timestamp"]).otherwise(F.col("question_time"))), F.lit(0.0))
-    out = rows.select(time.alias("q"), question.alias("question_text"), F.posexplode(answers).alias("position", "x"))
-    return out.select("q", "question_text", "position", parse_time("x.at").alias("a"), F.col("x.text").alias("answer_text"), to_bool("x.cut").alias("is_interrupted")).filter("a IS NOT NULL").orderBy("a", "position")
+    out = rows.select(*keys, time.alias("q"), question.alias("question_text"), F.posexplode(answers).alias("position", "x"))
+    return out.select(*keys, "q", "question_text", "position", parse_time("x.at").alias("a"), F.col("x.text").alias("answer_text"), to_bool("x.cut").alias("is_interrupted")).filter("a IS NOT NULL")
 
 
 def presets(spark: SparkSession, folder: str) -> DataFrame:
-    """Presets of a folder of YAML files in their order, 999 where none is given; a small, local listing."""
+    """Presets of a folder of YAML files in their order, 999 where none is given; a small, local listing. Files that
+    are no mapping are passed over."""
+    import yaml
+
     rows = []
     for p in sorted(Path(folder).glob("*.y*ml")):
-        fields = dict(line.split(":", 1) for line in p.read_text().splitlines() if ":" in line and not line.startswith((" ", "#", "-")))
-        rows.append((p.stem, fields.get("name", p.stem).strip().strip("\"'"), int(fields.get("order", "999"))))
+        fields = yaml.safe_load(p.read_text())
+        if isinstance(fields, dict):
+            rows.append((p.stem, str(fields.get("name") or p.stem), int(fields.get("order", 999))))
     return spark.createDataFrame(rows, "preset_id string, name string, `order` int").orderBy("order", "preset_id")
 
 
@@ -100,17 +108,69 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Parquet that becomes visible as a whole: written beside its place and moved there once committed."""
+def publish(df: DataFrame, path: str, marker: str = ".done") -> None:
+    """Parquet that becomes visible as a whole: written beside its place and moved there once committed, what was
+    there before moved aside first and removed last. An empty ``marker`` file inside says that it is complete."""
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged"
-    df.write.mode("overwrite").parquet(staged)
+    place = path.rstrip("/")
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    if not files.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
-        raise OSError(f"{staged} could not be moved to {path}")
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged, old = f"{place}.tmp", f"{place}.old"
+    df.write.mode("overwrite").parquet(staged)
+    files.create(at(f"{staged}/{marker}")).close()
+    files.delete(at(old), True)
+    if files.exists(at(place)) and not files.rename(at(place), at(old)):
+        raise OSError(f"{place} could not be moved aside")
+    if not files.rename(at(staged), at(place)):
+        files.rename(at(old), at(place))
+        raise OSError(f"{staged} could not be moved to {place}")
+    files.delete(at(old), True)
+
+
+def write_document(document: dict, path: str) -> None:
+    """One JSON document, indented, in UTF-8, its folder made where there is none: for reports, which are small."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(json.dumps(document, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+
+
+def append_rolling(lines: list[str], path: str, most_bytes: int = 5_000_000) -> None:
+    """Lines added to a debug log of a bounded size: what would grow beyond ``most_bytes`` is put aside first, one
+    older file being kept."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    text = "".join(f"{line}\n" for line in lines)
+    if target.exists() and target.stat().st_size + len(text.encode()) > most_bytes:
+        target.replace(target.with_name(target.name + ".1"))
+    with target.open("a", encoding="utf-8") as f:
+        f.write(text)
+
+
+def markdown_report(title: str, *sections: tuple[str, DataFrame, list[str], list[str]]) -> str:
+    """A report of tables, each with a heading, columns and order: for summaries, whose rows are few."""
+    out = [f"# {title}", ""]
+    for heading, df, columns, order in sections:
+        out += [f"## {heading}", "", *(r["line"] for r in markdown_lines(df, columns, order).orderBy("position").toLocalIterator()), ""]
+    return "\n".join(out)
+
+
+def cached_verdicts(spark: SparkSession, path: str, keys: list[str], asked: DataFrame, judge: Callable[[DataFrame], DataFrame], refresh: bool = False) -> DataFrame:
+    """``asked`` with a verdict from the cache at ``path`` (keys, verdict), or from ``judge`` where it has none. What the
+    judge said is added to the cache, which is published as a whole; with ``refresh`` all is asked again. Rows the
+    judge gives no verdict stay without one and are asked again the next time."""
+    from cadenza.session import cut_lineage
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys).schema) + ", verdict double"
+    try:
+        known = cut_lineage(spark.read.schema(kind).parquet(path))
+    except AnalysisException:
+        known = spark.createDataFrame([], kind)
+    misses = asked.select(*keys).distinct() if refresh else asked.select(*keys).distinct().join(known, keys, "left_anti")
+    said = cut_lineage(judge(misses).select(*keys, "verdict").filter("verdict IS NOT NULL"))
+    every = cut_lineage(said.unionByName(known.join(said, keys, "left_anti")))
+    publish(every, path)
+    return asked.join(every, keys, "left")
 
 
 def redacted(payload: Column) -> Column:

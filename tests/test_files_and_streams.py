@@ -33,15 +33,43 @@ def test_batch_summary(spark, tmp_path):
 
 def test_questions_and_conversations(spark):
     rows = spark.createDataFrame([("1:00", "70", "q", "a", " RealTime ", "yes"), ("x", "1", None, None, None, None), ("5", "6", None, None, " ", None)], files.QUESTION)
-    out = [tuple(r) for r in files.questions(rows).collect()]
+    out = [tuple(r) for r in files.questions(rows).orderBy("q", "a").collect()]
     assert out == [(5, 6, "", "", "unknown", False), (60, 70, "q", "a", "realtime", True)]
     schema = "inferred_knowledge string, question_time string, question_text string, conversations array<struct<`from`:string,timestamp:string,value:string,interrupted:string>>, answers array<struct<answer_time:string,answer_text:string,interrupted:string,is_interrupted:string>>"
     talk = [("user", "5", "How?", None), ("assistant", "30", "b", None), ("assistant", "12", "a", "true")]
     rows = spark.createDataFrame([("know", None, None, talk, None), ("know", "7", "Why?", None, [("9", "c", None, "1")])], schema)
-    out = [(r["q"], r["question_text"], r["a"], r["answer_text"], r["is_interrupted"]) for r in files.conversation_answers(rows).collect()]
+    out = [(r["q"], r["question_text"], r["a"], r["answer_text"], r["is_interrupted"]) for r in files.conversation_answers(rows).orderBy("a", "position").collect()]
     assert out == [(7, "Why?", 9, "c", True), (5, "know\n\nHow?", 12, "a", True), (5, "know\n\nHow?", 30, "b", False)]
 
 
+def test_answers_keep_their_document(spark):
+    rows = spark.createDataFrame([("d1", "1:00", "70", "q", "a", None, None), ("d2", "5", "6", None, None, " ", None)], "doc string, " + files.QUESTION)
+    assert sorted((r["doc"], r["q"]) for r in files.questions(rows, ("doc",)).collect()) == [("d1", 60), ("d2", 5)]
+
+
+def test_documents_logs_and_caches(spark, tmp_path):
+    files.write_document({"名": [1]}, str(tmp_path / "a" / "b.json"))
+    assert json.loads((tmp_path / "a" / "b.json").read_text(encoding="utf-8")) == {"名": [1]}
+    for i in range(4):
+        files.append_rolling([f"line {i}" * 5], str(tmp_path / "log"), 70)
+    assert (tmp_path / "log.1").exists() and len((tmp_path / "log").read_text().splitlines()) + len((tmp_path / "log.1").read_text().splitlines()) <= 4
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, x string")
+    calls = []
+
+    def judge(misses):
+        calls.append(sorted(r["k"] for r in misses.collect()))
+        return misses.withColumn("verdict", F.when(F.col("k") != 3, F.col("k") / 10))
+
+    path = str(tmp_path / "cache")
+    for _ in range(2):
+        got = files.cached_verdicts(spark, path, ["k"], asked, judge)
+    assert calls == [[1, 2, 3], [3]] and sorted((r["k"], r["verdict"]) for r in got.collect() if r["verdict"]) == [(1, 0.1), (2, 0.2)]
+    files.cached_verdicts(spark, path, ["k"], asked, judge, refresh=True)
+    assert calls[-1] == [1, 2, 3]
+    report = files.markdown_report("R", ("T", asked, ["k", "x"], ["k"]))
+    assert report.splitlines()[:5] == ["# R", "", "## T", "", "| k | x |"]
+
+
 def test_publish_report_log_presets(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
     files.publish(df, str(tmp_path / "out"))
@@ -53,7 +81,8 @@ def test_publish_report_log_presets(spark, tmp_path):
     files.append_log(df, str(tmp_path / "log"))
     assert files.json_lines(spark, str(tmp_path / "log"), "a int, b string").count() == 4
     assert [r["line"] for r in files.markdown_lines(df, ["a", "b"], ["a"]).orderBy("position").collect()] == ["| a | b |", "|---|---|", "| 1 | x |", "| 2 | y |"]
-    (tmp_path / "p.yaml").write_text("name: 'P'\norder: 2\n")
+    assert (tmp_path / "out" / ".done").exists() and not (tmp_path / "out.old").exists()
+    (tmp_path / "p.yaml").write_text("# a preset\nname: 'P'  # said\norder: 2\nnested:\n  name: other\n")
     (tmp_path / "q.yml").write_text("name: Q\n")
     assert [(r["preset_id"], r["order"]) for r in files.presets(spark, str(tmp_path)).collect()] == [("p", 2), ("q", 999)]
     sizes = files.folder_sizes(files.listing(spark, str(tmp_path), "*.y*ml"))
