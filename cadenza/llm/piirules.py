@@ -498,7 +498,8 @@ _ZH_CALLED = re.compile(
     re.M,
 )
 _RUN = re.compile(rf"(?<![\w.'’-]){_TOKEN}(?: {_INITIAL})*(?: {_TOKEN})(?: {_TOKEN})?(?![\w-])")
-_SMALL = re.compile(rf"(?:^|[.!?:—–,\n] ?|(?:Thanks|Gruß|Merci|Gracias|Luego entró|Puis|Then), ?|(?:Luego entró|Puis|Then) )(?P<name>[{_L}][{_L}'’-]{{2,}}(?: [{_L}]\.)? [{_L}][{_L}'’-]{{2,}})(?![\w-])", re.M)
+_SMALL = re.compile(rf"(?:^|[.!?:—–,\n] ?|(?:Thanks|Gruß|Merci|Gracias|Luego entró|Puis|Then), ?|(?:Luego entró|Puis|Then) )(?P<name>[{_L}][{_L}'’-]{{2,}}(?: [{_L}]\.)? [{_L}][{_L}'’-]{{2,}})(?=[,.;:!?\n]|$| [{_U}0-9]| (?:y|und|et|and) )", re.M)
+_STOP_WORDS = frozenset(_STOP.pattern.removeprefix("(?i)^(?:").removesuffix(")$").split("|"))
 
 
 def name_key(name: str) -> str | None:
@@ -521,6 +522,8 @@ def may_be_names(text: str, items: list[Item]) -> list[tuple[str, int, int]]:
     for p in (_RUN, _SMALL) if t.isascii() or re.search(f"[{_U}{_L}]", t) else ():
         for m in p.finditer(t):
             start, end = m.span("name") if p is _SMALL else m.span()
+            if p is _SMALL and t[start : t.index(" ", start)] in _STOP_WORDS:
+                continue
             if not any(marks[start:end]) and (key := name_key(t[start:end])) and (at := _trimmed(t[start:end], start)):
                 out.append((key, *at))
     if not t.isascii():
