@@ -15,7 +15,7 @@ def implicit_turns(rows: DataFrame, key: str, order: list[str], is_delta: Column
 
     ``closing`` is the kind of an event that closes a turn, NULL for others; one that finds no open turn makes none.
     """
-    cut = running(rows.withColumn("__close", closing), key, order, stretch_of(), before=True, __g=("sum", closing.isNotNull().cast("bigint")))
+    cut = running(rows.withColumn("__close", closing), key, order, stretch_of(order[0]), before=True, __g=("sum", closing.isNotNull().cast("bigint")))
     cut = cut.withColumn("__g", F.coalesce("__g", F.lit(0)))
     delta, close = F.coalesce(is_delta, F.lit(False)), F.col("__close").isNotNull()
     turns = cut.groupBy(key, "__g").agg(
@@ -32,8 +32,8 @@ def buffered(rows: DataFrame, key: str, order: list[str], is_audio: Column, inte
     (an interrupt came, and no audio since)."""
     audio = F.coalesce(is_audio, F.lit(False))
     cut = F.coalesce(interrupt, F.lit(False))
-    out = running(rows, key, order, stretch_of(), __sum=("sum", F.when(audio, F.col(size)).otherwise(0)))
-    out = running(out, key, order, stretch_of(), __gone=("last", F.when(cut, F.col("__sum"))), __mark=("last", F.when(cut, F.lit(True)).when(audio, F.lit(False))))
+    out = running(rows, key, order, stretch_of(order[0]), __sum=("sum", F.when(audio, F.col(size)).otherwise(0)))
+    out = running(out, key, order, stretch_of(order[0]), __gone=("last", F.when(cut, F.col("__sum"))), __mark=("last", F.when(cut, F.lit(True)).when(audio, F.lit(False))))
     return out.withColumn("pending", F.col("__sum") - F.coalesce("__gone", F.lit(0))).withColumn("is_muted", F.coalesce("__mark", F.lit(False))).drop("__sum", "__gone", "__mark")
 
 
@@ -41,7 +41,7 @@ def audio_first(rows: DataFrame, key: str, order: list[str], is_audio: Column, i
     """Adds ``may_send``: whether something other than audio may go out, which it may not from the end of a
     response until the next audio has gone."""
     mark = F.when(F.coalesce(is_done, F.lit(False)), F.lit(True)).when(F.coalesce(is_audio, F.lit(False)), F.lit(False))
-    out = running(rows, key, order, stretch_of(), before=True, __shut=("last", mark))
+    out = running(rows, key, order, stretch_of(order[0]), before=True, __shut=("last", mark))
     return out.withColumn("may_send", ~F.coalesce("__shut", F.lit(False))).drop("__shut")
 
 
@@ -55,8 +55,8 @@ def consumed_frames(rows: DataFrame, key: str, order: list[str], size: Column, i
     """
     n = F.coalesce(F.when(~is_frame, size), F.lit(0)).cast("bigint")
     flagged = rows.withColumn("__f", is_frame).withColumn("__n", n)
-    out = running(flagged, key, order, stretch_of(), __p=("sum", F.col("__n")), __j=("sum", F.col("__f").cast("bigint")))
-    out = running(out, key, order, stretch_of(), __low=("max", F.when(F.col("__f"), F.col("__j") * frame - F.col("__p"))))
+    out = running(flagged, key, order, stretch_of(order[0]), __p=("sum", F.col("__n")), __j=("sum", F.col("__f").cast("bigint")))
+    out = running(out, key, order, stretch_of(order[0]), __low=("max", F.when(F.col("__f"), F.col("__j") * frame - F.col("__p"))))
     taken_upto = F.col("__j") * frame - F.greatest(F.lit(0), F.coalesce("__low", F.lit(0)))
     frames = out.filter("__f").withColumn("__c", taken_upto).select(key, (F.col("__j") - 1).alias("number"), "__c")
     frames = running(frames, key, ["number"], F.floor(F.col("number") / 4096), before=True, __b=("last", F.col("__c"))).withColumn("__b", F.coalesce("__b", F.lit(0)))

@@ -58,7 +58,7 @@ def previous(rows: DataFrame, key: str, order: list[str], stretch: Column, **col
 
 def islands(rows: DataFrame, key: str, order: list[str], is_break: Column, stretch: Column | None = None) -> DataFrame:
     """Adds ``island``: the number of breaks up to and with the row."""
-    return running(rows, key, order, stretch_of() if stretch is None else stretch, island=("sum", F.coalesce(is_break, F.lit(False)).cast("bigint")))
+    return running(rows, key, order, stretch_of(order[0]) if stretch is None else stretch, island=("sum", F.coalesce(is_break, F.lit(False)).cast("bigint")))
 
 
 def speaking_islands(rows: DataFrame, key: str, order: list[str], speaking: Column) -> DataFrame:
@@ -76,7 +76,7 @@ def merged_touching(rows: DataFrame, key: str, low: str, high: str, width: float
 
 def run_lengths(rows: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
     """Runs of equal labels; a NULL label ends a run and makes none."""
-    marked = previous(rows, key, order, stretch_of(), __before=F.col(label))
+    marked = previous(rows, key, order, stretch_of(order[0]), __before=F.col(label))
     cut = islands(marked, key, order, ~F.col("__before").eqNullSafe(F.col(label)))
     return cut.filter(F.col(label).isNotNull()).groupBy(key, "island", label).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n")).drop("island")
 
@@ -99,13 +99,13 @@ def proportional_times(rows: DataFrame, key: str, order: str, weight: Column, to
 
 def turn_index(rows: DataFrame, key: str, order: list[str], closes: Column) -> DataFrame:
     """Adds ``turn``: how many earlier rows closed a turn."""
-    out = running(rows, key, order, stretch_of(), before=True, turn=("sum", closes.cast("bigint")))
+    out = running(rows, key, order, stretch_of(order[0]), before=True, turn=("sum", closes.cast("bigint")))
     return out.withColumn("turn", F.coalesce("turn", F.lit(0)))
 
 
 def laid_end_to_end(rows: DataFrame, key: str, order: list[str], length: Column) -> DataFrame:
     """Adds ``offset`` and ``end_offset`` of rows laid one after the other."""
-    out = running(rows.withColumn("__n", length), key, order, stretch_of(), end_offset=("sum", F.col("__n")))
+    out = running(rows.withColumn("__n", length), key, order, stretch_of(order[0]), end_offset=("sum", F.col("__n")))
     return out.withColumn("offset", F.col("end_offset") - F.col("__n")).drop("__n")
 
 
@@ -124,7 +124,7 @@ def subtitles(rows: DataFrame, key: str, order: list[str], text: str, hold: floa
 def time_to_first(rows: DataFrame, key: str, order: list[str], speaking: Column) -> DataFrame:
     """For each row that speaks after one that listened: the time since that one."""
     flagged = rows.withColumn("__s", speaking)
-    out = running(flagged, key, order, stretch_of(), before=True, __before=("last", F.struct(F.col("__s").alias("v"))), __heard=("last", F.when(~F.col("__s"), F.col("t"))))
+    out = running(flagged, key, order, stretch_of(order[0]), before=True, __before=("last", F.struct(F.col("__s").alias("v"))), __heard=("last", F.when(~F.col("__s"), F.col("t"))))
     return out.filter(F.col("__s") & (F.col("__before.v") == F.lit(False))).withColumn("wait", F.col("t") - F.col("__heard")).drop("__s", "__before", "__heard")
 
 
@@ -141,10 +141,10 @@ def placed_without_overlap(rows: DataFrame, key: str, order: list[str], arrival:
     next = max(next, arrival) + duration, as a running maximum: with S the sum of durations up to a row,
     its end is S + max over rows so far of (arrival - sum of durations before).
     """
-    out = running(rows, key, order, stretch_of(), __s=("sum", F.col(duration)))
-    out = running(out, key, order, stretch_of(), __lead=("max", F.col(arrival) - (F.col("__s") - F.col(duration))))
+    out = running(rows, key, order, stretch_of(order[0]), __s=("sum", F.col(duration)))
+    out = running(out, key, order, stretch_of(order[0]), __lead=("max", F.col(arrival) - (F.col("__s") - F.col(duration))))
     out = out.withColumn("end", F.col("__s") + F.col("__lead")).withColumn("start", F.col("end") - F.col(duration))
-    out = previous(out, key, order, stretch_of(), __last_end=F.col("end"))
+    out = previous(out, key, order, stretch_of(order[0]), __last_end=F.col("end"))
     return out.withColumn("gap", F.greatest(F.col("start") - F.col("__last_end"), F.lit(0.0))).drop("__s", "__lead", "__last_end")
 
 
@@ -181,9 +181,9 @@ def dropped_after_interrupt(rows: DataFrame, key: str, order: list[str], interru
 
     The group cut off is that of the last row before the interrupt; a row of another group lifts the cut.
     """
-    out = running(rows.withColumn("__i", interrupt), key, order, stretch_of(), before=True, __spoken=("last", F.when(~F.coalesce(interrupt, F.lit(False)), F.col(group))))
+    out = running(rows.withColumn("__i", interrupt), key, order, stretch_of(order[0]), before=True, __spoken=("last", F.when(~F.coalesce(interrupt, F.lit(False)), F.col(group))))
     # The group cut off by the last interrupt, and the last group heard since: the cut holds while that is the same.
-    out = running(out, key, order, stretch_of(), before=True, __cut=("last", F.when(F.col("__i"), F.struct(F.col("__spoken").alias("g")))))
+    out = running(out, key, order, stretch_of(order[0]), before=True, __cut=("last", F.when(F.col("__i"), F.struct(F.col("__spoken").alias("g")))))
     return out.filter(~F.col("__i") & ~F.coalesce(F.col("__cut.g") == F.col(group), F.lit(False))).drop("__i", "__spoken", "__cut")
 
 
@@ -219,7 +219,7 @@ def moving_average(rows: DataFrame, key: str, order: list[str], value: str, alph
     stretch: each gives its own average and what is left of the start, and a row per stretch carries the rest.
     """
     left = 1 - alpha
-    cut = rows.withColumn("__st", stretch_of())
+    cut = rows.withColumn("__st", stretch_of(order[0]))
     first = rows.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias("__first"))
     # Within a stretch: the fold from 0, by a sorted pass, with the number of rows so far.
     part = folded(cut, [key, "__st"], order, [value], lambda: 0.0, lambda s, v: (left * s + alpha * v,) * 2, "__own")
@@ -228,7 +228,7 @@ def moving_average(rows: DataFrame, key: str, order: list[str], value: str, alph
     carried = folded(ends, [key], ["__st"], ["__own", "__n", "__first"], lambda: None, lambda s, own, n, v: ((own + left**n * (v if s is None else s)), v if s is None else s), "__carry").select(key, "__st", "__carry")
     out = part.join(carried, [key, "__st"]).withColumn("ema", F.col("__own") + F.pow(F.lit(left), F.col("__n")) * F.col("__carry"))
     if least > 1:
-        out = running(out, key, order, stretch_of(), __seen=("sum", F.lit(1))).withColumn("ema", F.when(F.col("__seen") >= least, F.col("ema"))).drop("__seen")
+        out = running(out, key, order, stretch_of(order[0]), __seen=("sum", F.lit(1))).withColumn("ema", F.when(F.col("__seen") >= least, F.col("ema"))).drop("__seen")
     return out.drop("__st", "__own", "__n", "__carry")
 
 

@@ -66,8 +66,17 @@ def test_placement_and_retention(spark):
     rows = spark.createDataFrame([("a", 0, 0.0, 1.0), ("a", 1, 0.5, 1.0), ("a", 2, 3.0, 1.0)], "k string, i int, now double, dur double")
     out = series.placed_without_overlap(rows, "k", ["i"], "now", "dur").orderBy("i").collect()
     assert [r["start"] for r in out] == [0, 1, 3] and [r["gap"] for r in out] == [0, 0, 1]
-    kept = series.retained(spark.createDataFrame([("a", i, float(s)) for i, s in enumerate([5, 4, 3, 2])], "k string, i int, s double"), "k", [F.col("i").desc()], "s", 6).filter("kept").collect()
-    assert sorted(r["s"] for r in kept) == [2, 3]
+    aged = spark.createDataFrame([("a", 100_000.0 * (3 - i), float(s)) for i, s in enumerate([5, 4, 3, 2])], "k string, age double, s double")
+    assert sorted(r["s"] for r in series.retained(aged, "k", ["age"], "age", "s", 6).filter("kept").collect()) == [2, 3]
+
+
+def test_running_measures_cross_stretches(spark):
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate([3, None, 1, 5, None, None, 2, 4])], "k string, t int, v int")
+    out = series.running(rows, "k", ["t"], F.floor(F.col("t") / 3), s=("sum", F.col("v")), m=("max", F.col("v")), last=("last", F.col("v"))).orderBy("t").collect()
+    assert [(r["s"], r["m"], r["last"]) for r in out] == [(3, 3, 3), (3, 3, 3), (4, 3, 1), (9, 5, 5), (9, 5, 5), (9, 5, 5), (11, 5, 2), (15, 5, 4)]
+    before = series.previous(rows, "k", ["t"], F.floor(F.col("t") / 3), was=F.col("v")).orderBy("t").collect()
+    assert [r["was"] for r in before] == [None, 3, None, 1, 5, None, None, 2]
+    assert series.running(rows.limit(0), "k", ["t"], F.floor(F.col("t") / 3), s=("sum", F.col("v"))).count() == 0
 
 
 def test_proportional(spark):
