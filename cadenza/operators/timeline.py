@@ -108,21 +108,30 @@ def split_at_answer(phased: DataFrame) -> DataFrame:
     return crossing.select("model_name", "sample_id", "chunk_id", F.explode(parts).alias("p")).select("model_name", "sample_id", "chunk_id", "p.*")
 
 
+def _in_order(questions: DataFrame, order: list[str], following: str) -> DataFrame:
+    """Questions with their ``place`` in a sample, from 1, in the order of some numbers, and ``next``: ``following`` of the
+    question after. Both run along stretches of media time, so a sample is no single task."""
+    back = [f"__{c}" for c in order]
+    rows = questions.withColumns({b: -F.col(c) for b, c in zip(back, order, strict=True)})
+    placed = running(rows, "sample_id", order, F.floor(F.col(order[0]) / BIN_S), place=("sum", F.lit(1)))
+    out = running(placed, "sample_id", back, F.floor(F.col(back[0]) / BIN_S), before=True, __next=("last", F.struct(F.col(following).alias("v"))))
+    return out.withColumn("place", F.col("place").cast("int")).withColumn("next", F.col("__next.v")).drop("__next", *back)
+
+
 def multi_turn_slots(questions: DataFrame, tail: float = TAIL_S) -> DataFrame:
     """(sample_id, q, a) rows to slots [q, a, end): a slot ends at the next question, the last ``tail`` after its answer."""
-    order = Window.partitionBy("sample_id").orderBy("q", "a", "slot_uid")
-    end = F.greatest(F.coalesce(F.lead("q").over(order), F.col("a") + tail), F.col("q"))
-    return questions.select("sample_id", "slot_uid", F.row_number().over(order).alias("ordinal"), F.col("q").alias("slot_start"), F.col("a").alias("t_a"), end.alias("slot_end"))
+    rows = _in_order(questions, ["q", "a", "slot_uid"], "q")
+    end = F.greatest(F.coalesce("next", F.col("a") + tail), F.col("q"))
+    return rows.select("sample_id", "slot_uid", F.col("place").alias("ordinal"), F.col("q").alias("slot_start"), F.col("a").alias("t_a"), end.alias("slot_end"))
 
 
 def stepwise_slots(questions: DataFrame, tail: float = TAIL_S) -> DataFrame:
     """One question, many answers: the first step starts at the question, a later one at its own answer."""
-    order = Window.partitionBy("sample_id").orderBy("a", "slot_uid")
-    step = F.row_number().over(order)
-    first_q = F.min("q").over(Window.partitionBy("sample_id"))
-    rows = questions.withColumn("step", step).withColumn("slot_start", F.when(F.col("step") == 1, first_q).otherwise(F.col("a")))
-    end = F.greatest(F.coalesce(F.lead("a").over(order), F.col("a") + tail), F.col("slot_start"))
-    return rows.select("sample_id", "slot_uid", "step", "slot_start", F.col("a").alias("t_a"), end.alias("slot_end"))
+    first = questions.groupBy("sample_id").agg(F.min("q").alias("first_q"))
+    rows = _in_order(questions, ["a", "slot_uid"], "a").join(first, "sample_id")
+    rows = rows.withColumn("slot_start", F.when(F.col("place") == 1, F.col("first_q")).otherwise(F.col("a")))
+    end = F.greatest(F.coalesce("next", F.col("a") + tail), F.col("slot_start"))
+    return rows.select("sample_id", "slot_uid", F.col("place").alias("step"), "slot_start", F.col("a").alias("t_a"), end.alias("slot_end"))
 
 
 def nested_slots(questions: DataFrame, tail: float = TAIL_S) -> DataFrame:
@@ -280,9 +289,9 @@ def later_answers(slots: DataFrame) -> DataFrame:
     of its slots adds the rest of its own block. Blocks are spread over tasks, so one sample may hold many slots.
     """
     group = ["sample_id", "scene_type"]
-    order = Window.partitionBy(*group).orderBy("slot_start", "slot_id")
     line = F.format_string("- slot %d: %s", F.col("slot_id"), F.coalesce("gt_answer", F.lit("")))
-    placed = slots.select(*group, F.row_number().over(order).alias("n"), "slot_id", line.alias("line"))
+    keyed = slots.select(*group, F.struct(*group).alias("__g"), "slot_start", "slot_id", line.alias("line"))
+    placed = running(keyed, "__g", ["slot_start", "slot_id"], F.floor(F.col("slot_start") / BIN_S), n=("sum", F.lit(1))).drop("__g")
     blocks = placed.groupBy(*group, F.floor(F.col("n") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "slot_id", "line"))).alias("rows"))
     blocks = blocks.withColumn("lines", F.transform("rows", lambda r: r["line"]))
     after = Window.partitionBy(*group).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
